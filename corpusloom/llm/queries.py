@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import op5_mixing
+from .op1_quality import op1_quality_nbsvm
 from .op2_minhash import op2_minhash_dedup
+from .op4_sharding import op4_shard_placement
+from .op9_decontaminate import op9_decontaminate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_nbsvm": op1_quality_nbsvm,
     "op2_minhash_dedup": op2_minhash_dedup,
+    "op4_shard_placement": op4_shard_placement,
+    "op5_source_mixing": op5_mixing.op5_source_mixing,
+    "op9_decontaminate": op9_decontaminate,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_source_mixing": op5_mixing.SQL,
+}
