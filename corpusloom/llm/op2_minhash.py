@@ -36,8 +36,9 @@ from .sketch import Sketcher
 
 BANDS, ROWS = 32, 5
 SKETCH_BOUND = 0.64  # least share of agreeing coordinates; 5 standard deviations under 0.8
-BLOCK = 256  # members of a bucket in one block
-PACK_BYTES = 8 << 20  # of shingle sets that one verification group holds, on average
+BLOCK = 2048  # members of a bucket in one block
+SPLITS = 256  # of the members that are checked against one pivot
+PACK_BYTES = 8 << 20  # of sketches or sets that one group of checks holds, on average
 _HASHES = WordHashes()
 
 
@@ -87,30 +88,53 @@ class _Forest(dict):
         return x
 
 
-def _check_pack(percent: int):
-    """Confirms links within the units of one pack and returns those that join two components."""
+def _fitting(unit: pd.DataFrame, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For members of a unit the later ones that may be linked: other component, sizes and sketches fit.
+
+    A unit of side 0 alone is held against itself, else side 0 against side 1. Within buckets
+    (band >= 0) a pair counts in the first band that both share.
+    """
+    comps, side, sizes = (unit[c].to_numpy() for c in ("comp", "side", "n"))
+    coords = np.frombuffer(b"".join(unit["sketch"]), "<u2").reshape(len(unit), BANDS * ROWS)
+    band, crossed = int(unit["band"].iat[0]), bool((side > 0).any())
+    for i in np.flatnonzero(side == 0):
+        later = side > 0 if crossed else np.arange(len(unit)) > i
+        fits = later & (comps != comps[i]) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
+        others = np.flatnonzero(fits)
+        if len(others):
+            same = coords[others] == coords[i]
+            keep = same.mean(axis=1) >= SKETCH_BOUND
+            if band >= 0:
+                keep &= same.reshape(len(others), BANDS, ROWS).all(axis=2).argmax(axis=1) >= band
+            yield i, others[keep]
+
+
+def _fitting_members(percent: int):
+    """The rows of each unit that have a partner to be confirmed."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        kept = []
+        for _, unit in rows.groupby("unit", sort=False):
+            needed = np.zeros(len(unit), bool)
+            for i, others in _fitting(unit, percent):
+                if len(others):
+                    needed[i] = needed[others] = True
+            kept.append(unit[needed])
+        return pd.concat(kept)[["unit", "side", "band", "rep", "comp"]]
+
+    return run
+
+
+def _confirmed(percent: int):
+    """Confirms links on full sets and returns those that join two components of their pack."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         found, forest = [], _Forest()
         for _, unit in rows.groupby("unit", sort=False):
-            reps, comps, side = (unit[c].to_numpy() for c in ("rep", "comp", "side"))
+            reps, comps = unit["rep"].to_numpy(), unit["comp"].to_numpy()
             sets = [np.frombuffer(x, np.uint64) for x in unit["shingles"]]
-            sizes = np.array([len(x) for x in sets])
-            coords = np.frombuffer(b"".join(unit["sketch"]), "<u2").reshape(len(sets), BANDS * ROWS)
-            left = np.flatnonzero(side <= 0)
-            for i in left:
-                later = side > 0 if side[i] == 0 and (side > 0).any() else np.arange(len(sets)) > i
-                fits = later & (comps != comps[i]) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
-                others = np.flatnonzero(fits)
-                if not len(others):
-                    continue
-                same = coords[others] == coords[i]
-                keep = same.mean(axis=1) >= SKETCH_BOUND
-                band = unit["band"].iat[0]
-                if band >= 0:  # a pair is checked in the first band that both share
-                    first = same.reshape(len(others), BANDS, ROWS).all(axis=2).argmax(axis=1)
-                    keep &= first >= band
-                for j in others[keep]:
+            for i, others in _fitting(unit, percent):
+                for j in others:
                     x, y = forest.root(comps[i]), forest.root(comps[j])
                     if x != y and _linked(sets[i], sets[j], percent):
                         forest[max(x, y)] = min(x, y)
@@ -120,13 +144,22 @@ def _check_pack(percent: int):
     return run
 
 
+def _packed(units: DataFrame, row_bytes: float) -> DataFrame:
+    """units with a column pack, so that the units of one pack hold a bounded amount of bytes on average."""
+    packs = max(1, math.ceil(units.count() * row_bytes / PACK_BYTES))
+    return units.withColumn("pack", F.pmod(F.xxhash64("unit"), F.lit(packs)))
+
+
 def _checked(units: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """units: unit, side, band, rep, comp. Packs units so that one group holds a bounded amount of sets."""
-    full = units.join(sets, "rep")
-    total = units.join(sets.select("rep", F.length("shingles").alias("n")), "rep").agg(F.sum("n")).first()[0] or 0
-    packs = max(1, math.ceil(total / PACK_BYTES))
-    full = full.withColumn("pack", F.pmod(F.xxhash64("unit"), F.lit(packs)))
-    return full.groupBy("pack").applyInPandas(_check_pack(percent), "u long, v long")
+    """Links found among the units' rows (unit, side, band, rep, comp)."""
+    mean = sets.agg(F.avg(F.length("shingles"))).first()[0] or 0
+    full = _packed(units, mean + 2 * BANDS * ROWS).join(sets, "rep")
+    return full.groupBy("pack").applyInPandas(_confirmed(percent), "u long, v long")
+
+
+def _small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A written table as a broadcast side if it has few rows; a plain side, for a shuffled join, if not."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -152,16 +185,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         .where("cnt > 1").groupBy("sig", "cnt", "lo", "hi").agg(F.min_by("key", "band").alias("key"))
     )
     buckets = written(buckets.select("key", "cnt", "lo", "hi"), "buckets")
-    members = written(keyed.join(buckets.where("cnt > 2"), "key"), "members")
+    crowded = buckets.where("cnt > 2").select("key", "cnt", "lo")
+    members = written(keyed.join(_small(crowded), "key"), "members")
 
     star = members.where("rep != lo").select("lo", "rep").union(buckets.where("cnt = 2").select("lo", F.col("hi").alias("rep"))).distinct()
     star = written(star, "star")
-    active = star.select("rep").union(star.select("lo")).distinct()
-    text_of = docs.where("doc_id is not null").join(active, docs["doc_id"] == active["rep"], "left_semi").select(F.col("doc_id").alias("rep"), "text")
-    sets = written(text_of.mapInPandas(_sets(k), "rep long, shingles binary").dropDuplicates(["rep"]).join(classes.select("rep", "sketch").dropDuplicates(["rep"]), "rep"), "sets")
+    active = written(star.select("rep").union(star.select("lo")).distinct(), "active")
+    text_of = docs.withColumnRenamed("doc_id", "rep").join(_small(active), "rep", "left_semi")
+    text_of = text_of.mapInPandas(_sets(k), "rep long, shingles binary").groupBy("rep").agg(F.min("shingles").alias("shingles"))
+    sketch_of = classes.join(_small(active), "rep", "left_semi").groupBy("rep").agg(F.min("sketch").alias("sketch"))
+    sets = written(text_of.join(sketch_of, "rep").withColumn("n", F.length("shingles") / 8), "sets")
 
-    chunk = F.floor(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) / F.ceil(F.lit(1 << 20) / F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)))).cast("long")
-    dealt = star.join(star.groupBy("lo").agg(F.count("rep").alias("n")), "lo").select("lo", "rep", F.xxhash64("lo", chunk).alias("unit"))
+    dealt = star.withColumn("unit", F.xxhash64("lo", F.pmod(F.xxhash64("rep"), F.lit(SPLITS))))
     units = dealt.select("unit", F.lit(1).alias("side"), F.lit(-1).alias("band"), "rep", F.col("rep").alias("comp")).union(
         dealt.select("unit", "lo").distinct().select("unit", F.lit(0), F.lit(-1), "lo", "lo")
     )
@@ -178,6 +213,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("own") <= F.col("other"), 0).otherwise(1)
     units = left.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), side.alias("side"), "band", "rep", "comp")
+    light = _packed(units, 2 * BANDS * ROWS).join(sets.select("rep", "sketch", "n"), "rep")
+    units = written(light.groupBy("pack").applyInPandas(_fitting_members(percent), "unit long, side int, band int, rep long, comp long"), "fitting")
     more = written(_checked(units, sets, percent), "links")
 
     comps = connected_components(links.union(more)).withColumnRenamed("node", "rep")
