@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .site import PAGE, SITE, VARIABLES
-from .text import attr_escape, replaced, trim_all
+from .text import attr_escape, let, replaced, trim_all
 
 ERROR = '<strong class="error">Expression error: {}</strong>'
 
@@ -57,14 +57,14 @@ def magic_pipe(text: Column) -> Column:
 
 def substitute_args(body: Column, args: Column, rounds: int = 3) -> Column:
     """Replaces {{{name|default}}} from the innermost outwards, ``rounds`` levels deep; then {{!}}."""
-    for _ in range(rounds):
-        found = F.regexp_extract_all(body, F.lit(r"\{\{\{[^{}]*\}\}\}"), F.lit(0))
+    def put(text: Column, ref: Column) -> Column:
+        return let(arg_reference(F.substring(ref, F.lit(4), F.char_length(ref) - 6)), lambda r: F.replace(text, ref, resolve_arg(F.try_element_at(args, r["name"]), r["dflt"])))
 
-        def put(text: Column, ref: Column) -> Column:
-            parsed = arg_reference(F.substring(ref, F.lit(4), F.char_length(ref) - 6))
-            return F.replace(text, ref, resolve_arg(F.try_element_at(args, parsed["name"]), parsed["dflt"]))
+    def one_level(text: Column) -> Column:
+        return F.aggregate(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\{\{\{[^{}]*\}\}\}"), F.lit(0))), text, put)
 
-        body = F.aggregate(F.array_distinct(found), body, put)
+    for _ in range(rounds):
+        body = let(body, one_level)
     return magic_pipe(body)
 
 
@@ -191,7 +191,7 @@ def _values(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def pf_expr(text: Column) -> Column:
     """The value of an arithmetic text, formatted; '' for an empty one, an error text for division by zero."""
     x = _values(text)
-    return F.when(F.isnan(x), "").when(x == float("inf"), ERROR.format("Division by zero")).otherwise(format_result(x))
+    return F.when(x.isNull() | F.isnan(x), "").when(x == float("inf"), ERROR.format("Division by zero")).otherwise(format_result(x))
 
 
 def variable(name: Column, page: dict[str, str] | None = None, site: dict[str, str] | None = None) -> Column:

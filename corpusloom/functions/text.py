@@ -15,6 +15,11 @@ def replaced(text: Column, *pairs: tuple[str, str]) -> Column:
     return reduce(lambda t, p: F.replace(t, F.lit(p[0]), F.lit(p[1])), pairs, text)
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value evaluated once however often use refers to it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def html_escape(text: Column) -> Column:
     return replaced(text, ("&", "&amp;"), ("<", "&lt;"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.site import PARAGRAPH_BREAKING_TAGS
-from ..functions.text import comment_escape, html_document, html_escape
+from ..functions.text import comment_escape, html_document, html_escape, let
 from ..functions.titles import extlink_html, wikilink_html
 from .tokens import inline_quotes
 
@@ -21,7 +21,8 @@ _TAG = r"</?[A-Za-z][A-Za-z0-9-]*(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>"
 
 def _folded(text: Column, pattern: str, put) -> Column:
     """Replaces every match of the pattern by put(match)."""
-    return F.aggregate(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), text, lambda t, m: F.replace(t, m, put(m)))
+    found = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)))
+    return let(text, lambda t: F.when(t.rlike(pattern), F.aggregate(found(t), t, lambda x, m: F.replace(x, m, put(m)))).otherwise(t))
 
 
 def _text_escaped(line: Column) -> Column:
@@ -37,20 +38,24 @@ def inline_html(line: Column) -> Column:
     line = _folded(line, r"(?s)<!--.*?-->", lambda m: F.concat(F.lit("<!--"), comment_escape(F.regexp_replace(F.replace(m, F.lit("&amp;"), F.lit("&")), "^<!--|-->$", "")), F.lit("-->")))
 
     def wiki(m: Column) -> Column:
-        inner = F.regexp_replace(m, r"^\[\[|\]\]$", "")
+        return let(F.regexp_replace(m, r"^\[\[|\]\]$", ""), _wiki_html)
+
+    def _wiki_html(inner: Column) -> Column:
         bar = F.instr(inner, "|")
         shown = F.when(bar > 0, F.substring(inner, bar + 1, F.char_length(inner)))
         return F.replace(wikilink_html(F.split_part(inner, F.lit("|"), F.lit(1)), F.coalesce(F.replace(shown, F.lit("&amp;"), F.lit("&")), F.lit(""))), F.lit("&amp;amp;"), F.lit("&amp;"))
 
     def external(m: Column) -> Column:
-        inner = F.regexp_replace(m, r"^\[|\]$", "")
+        return let(F.regexp_replace(m, r"^\[|\]$", ""), _external_html)
+
+    def _external_html(inner: Column) -> Column:
         cut = F.instr(inner, " ")
         url = F.when(cut > 0, F.substring(inner, F.lit(1), cut - 1)).otherwise(inner)
         return extlink_html(url, F.when(cut > 0, F.replace(F.substring(inner, cut + 1, F.char_length(inner)), F.lit("&amp;"), F.lit("&"))))
 
     line = _folded(line, r"\[\[[^\[\]\n]+\]\]", wiki)
     line = _folded(line, r"\[(?:https?://|ftp://|mailto:|//)[^\]\n]*\]", external)
-    line = F.regexp_replace(inline_quotes(line), r"(?i)<br\s*/?>", "<br/>")
+    line = F.regexp_replace(let(line, inline_quotes), r"(?i)<br\s*/?>", "<br/>")
     return F.translate(line, "", "'[]")
 
 
@@ -80,53 +85,44 @@ def _islands(rows: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("new", new).withColumn("block", F.sum("new").over(w)).drop("new")
 
 
-def _table_html(lines: Column) -> Column:
-    """{| attrs ... |} to table rows; cells by | or ||, header cells by ! or !!, caption by |+."""
-    attrs = F.trim(F.substring(F.get(lines, 0), 3, 1 << 30))
-    inner = F.filter(F.slice(lines, 2, F.size(lines)), lambda s: ~s.startswith("|}"))
-
-    def line_html(s: Column) -> Column:
-        head = s.startswith("!")
-        cells = F.split(F.substring(s, 2, 1 << 30), r"\|\||!!", -1)
-        cell = lambda c: F.concat(F.when(head, "<th>").otherwise("<td>"), inline_html(F.trim(c)), F.when(head, "</th>").otherwise("</td>"))
-        return (
-            F.when(s.startswith("|-"), "</tr><tr>")
-            .when(s.startswith("|+"), F.concat(F.lit("<caption>"), inline_html(F.trim(F.substring(s, 3, 1 << 30))), F.lit("</caption>")))
-            .when(head | s.startswith("|"), F.array_join(F.transform(cells, cell), "")).otherwise(inline_html(s))
-        )
-
-    rows = F.array_join(F.transform(inner, line_html), "")
-    caption = F.regexp_extract(rows, r"(?s)^((?:<caption>.*?</caption>)?)", 1)
-    body = F.replace(F.concat(F.lit("<tr>"), F.substring(rows, F.char_length(caption) + 1, F.lit(1 << 30)), F.lit("</tr>")), F.lit("<tr></tr>"), F.lit(""))
-    return F.concat(F.lit("<table"), F.when(attrs == "", "").otherwise(F.concat(F.lit(" "), attrs)), F.lit(">"), caption, body, F.lit("</table>"))
-
-
-def _list_html(lines: Column, kind: Column) -> Column:
-    def item(s: Column) -> Column:
-        tag = F.when(kind != "dl", "li").when(s.startswith(";"), "dt").otherwise("dd")
-        return F.concat(F.lit("<"), tag, F.lit(">"), inline_html(F.ltrim(F.regexp_replace(s, r"^[*#;:]+", ""))), F.lit("</"), tag, F.lit(">"))
-
-    return F.concat(F.lit("<"), kind, F.lit(">"), F.array_join(F.transform(lines, item), "\n"), F.lit("</"), kind, F.lit(">"))
+def _rendered(rows: DataFrame) -> DataFrame:
+    """Adds out, the HTML of each line within its block. Inline markup is rendered in one place only."""
+    kind, s = F.col("kind"), F.col("s")
+    rest = lambda n: F.substring(s, n, 1 << 30)
+    parts = (
+        F.when(kind == "heading", F.array(F.trim(F.regexp_replace(F.regexp_replace(s, r"^={2,6}", ""), r"=+[ \t]*$", ""))))
+        .when(kind.isin("ol", "ul", "dl"), F.array(F.ltrim(F.regexp_replace(s, r"^[*#;:]+", ""))))
+        .when((kind == "table") & s.startswith("|+"), F.array(F.trim(rest(3)))).when((kind == "table") & s.rlike(r"^(?:\{\||\|\}|\|-)"), F.array().cast("array<string>"))
+        .when((kind == "table") & s.rlike(r"^[|!]"), F.transform(F.split(rest(2), r"\|\||!!", -1), lambda x: F.trim(x))).when(kind.isin("pre", "rule", "blank"), F.array().cast("array<string>")).otherwise(F.array(s))
+    )
+    rows = rows.withColumn("parts", parts).withColumn("parts", F.transform("parts", inline_html))
+    one, level = F.get("parts", F.lit(0)), F.col("level").cast("string")
+    cell = F.when(s.startswith("!"), "th").otherwise("td")
+    item = F.when(kind != "dl", "li").when(s.startswith(";"), "dt").otherwise("dd")
+    wrap = lambda tag, x: F.concat(F.lit("<"), tag, F.lit(">"), x, F.lit("</"), tag, F.lit(">"))
+    out = (
+        F.when(kind == "heading", wrap(F.concat(F.lit("h"), level), one)).when(kind == "rule", "<hr/>").when(kind.isin("ol", "ul", "dl"), wrap(item, one)).when(kind == "pre", s)
+        .when((kind == "table") & s.startswith("{|"), F.concat(F.lit("<table"), F.when(F.trim(rest(3)) == "", "").otherwise(F.concat(F.lit(" "), F.trim(rest(3)))), F.lit(">")))
+        .when((kind == "table") & s.startswith("|}"), "").when((kind == "table") & s.startswith("|-"), "</tr><tr>").when((kind == "table") & s.startswith("|+"), wrap(F.lit("caption"), one))
+        .when((kind == "table") & s.rlike(r"^[|!]"), F.array_join(F.transform("parts", lambda x: wrap(cell, x)), "")).otherwise(one)
+    )
+    return rows.withColumn("out", out)
 
 
-def _heading_html(line: Column, level: Column) -> Column:
-    title = F.trim(F.regexp_replace(F.substring(line, level + 1, F.lit(1 << 30)), r"=+[ \t]*$", ""))
-    return F.concat(F.lit("<h"), level.cast("string"), F.lit(">"), inline_html(title), F.lit("</h"), level.cast("string"), F.lit(">"))
+def _block_html(kind: Column, lines: Column) -> Column:
+    table = F.regexp_replace(F.array_join(lines, ""), r"(?s)^(<table[^>]*>(?:<caption>.*?</caption>)?)", "$1<tr>")
+    return (
+        F.when(kind.isin("ol", "ul", "dl"), F.concat(F.lit("<"), kind, F.lit(">"), F.array_join(lines, "\n"), F.lit("</"), kind, F.lit(">")))
+        .when(kind == "table", F.replace(F.concat(table, F.lit("</tr></table>")), F.lit("<tr></tr>"), F.lit("")))
+        .when(kind == "text", F.concat(F.lit("<p>"), F.array_join(lines, "\n"), F.lit("</p>"))).when(kind != "blank", F.array_join(lines, "\n"))
+    )
 
 
 def wt2html(docs: DataFrame, key: str = "doc_id", text: str = "text", body_only: bool = True, language: str = "en") -> DataFrame:
     """key, html: each page's markup as HTML; every page gets a row, an empty one an empty body."""
-    rows = _islands(markup_lines(docs, key, text), key)
-    blocks = rows.groupBy(key, "block").agg(F.first("kind").alias("kind"), F.max("level").alias("level"), F.array_sort(F.collect_list(F.struct("line", "s"))).alias("parts"))
-    blocks = blocks.withColumn("lines", F.transform("parts", lambda p: p["s"]))
-    kind, lines = F.col("kind"), F.col("lines")
-    html = (
-        F.when(kind == "heading", _heading_html(F.get(lines, 0), F.col("level"))).when(kind == "rule", "<hr/>")
-        .when(kind.isin("ol", "ul", "dl"), _list_html(lines, kind)).when(kind == "table", _table_html(lines))
-        .when(kind == "pre", F.array_join(lines, "\n")).when(kind.isin("html", "comment"), inline_html(F.get(lines, 0)))
-        .when(kind == "text", F.concat(F.lit("<p>"), F.array_join(F.transform(lines, inline_html), "\n"), F.lit("</p>")))
-    )
-    blocks = blocks.select(key, "block", html.alias("html"))
+    rows = _rendered(_islands(markup_lines(docs, key, text), key))
+    blocks = rows.groupBy(key, "block").agg(F.first("kind").alias("kind"), F.array_sort(F.collect_list(F.struct("line", "out"))).alias("lines"))
+    blocks = blocks.select(key, "block", _block_html(F.col("kind"), F.transform("lines", lambda x: x["out"])).alias("html"))
     pages = blocks.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("html").isNotNull(), F.struct("block", "html")))).alias("b"))
     body = F.array_join(F.transform("b", lambda x: x["html"]), "\n")
     return pages.select(key, html_document(body, F.lit(language), body_only).alias("html"))

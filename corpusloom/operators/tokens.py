@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 # Braces nest three deep.
 _IN = r"(?:[^{}]|\{(?!\{)|\}(?!\}))"
 _B1 = r"\{\{" + _IN + r"*\}\}"
@@ -188,9 +190,11 @@ def inline_quotes(line: Column) -> Column:
         F.concat(F.coalesce(t, F.lit("")), F.when(F.length(r) == 4, "'").when(F.length(r) > 5, F.repeat(F.lit("'"), F.length(r) - 5)).otherwise("")).alias("before"),
         F.when(F.length(r) == 4, 3).when(F.length(r) > 5, 5).otherwise(F.coalesce(F.length(r), F.lit(0))).alias("n"),
     )
-    chunks = F.zip_with(texts, runs, chunk)
-    wrong = _odd_pair(chunks)
-    fixed = F.transform(chunks, lambda c, i: F.when(i == wrong, F.struct(F.concat(c["before"], F.lit("'")).alias("before"), F.lit(2).alias("n"))).otherwise(F.struct(c["before"].alias("before"), c["n"].alias("n"))))
+
+    def balanced(chunks: Column) -> Column:
+        return let(_odd_pair(chunks), lambda wrong: F.transform(chunks, lambda c, i: F.when(i == wrong, F.struct(F.concat(c["before"], F.lit("'")).alias("before"), F.lit(2).alias("n"))).otherwise(F.struct(c["before"].alias("before"), c["n"].alias("n")))))
+
+    fixed = let(F.zip_with(texts, runs, chunk), balanced)
 
     def step(state: Column, c: Column) -> Column:
         def to(done, held, now):
