@@ -12,41 +12,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.templates import (
-    parse_invocation, pf_expr, pf_if, pf_ifeq, pf_iferror, pf_ifexpr, pf_switch, pf_tag, pf_titleparts, substitute_args, template_args, template_body, top_level_arg, variable,
+    is_variable, parse_invocation, pf_expr, pf_if, pf_ifeq, pf_iferror, pf_ifexpr, pf_switch, pf_tag, pf_titleparts, substitute_args, template_args, template_body, top_level_arg, variable,
 )
-from ..functions.text import trim_all
+from ..functions.text import let, replaced, trim_all
+from ..staging import staged
 
 MAX_DEPTH = 40
 INNERMOST = r"\{\{(?!\{)((?:[^{}]|\{(?!\{)|\}(?!\}))*)\}\}"
+#: Stand for the braces of calls that are to stay.
+_OPEN, _CLOSE = "\ue000", "\ue001"
 TOP_ARG = r"(?s)\{\{\{([^{}]*)\}\}\}"
 
 
-def _function(call: Column, page: Column) -> Column:
-    """The value of '#name:first|...'; unknown functions keep a mark of their name."""
-    first_part = call["name"]
-    name = F.lower(trim_all(F.split_part(first_part, F.lit(":"), F.lit(1))))
-    args, at = call["positional"], lambda i: trim_all(F.get(call["positional"], i))
-    first = trim_all(F.when(F.instr(first_part, ":") > 0, F.substring(first_part, F.instr(first_part, ":") + 1, F.char_length(first_part))).otherwise(F.coalesce(F.get(args, 0), F.lit(""))))
-    cases = F.concat(F.transform(F.map_entries(call["named"]), lambda e: F.concat(e["key"], F.lit("="), e["value"])), args)
-    plain = F.coalesce(trim_all(F.element_at(F.concat(F.array(F.lit("")), args), -1)), F.lit(""))
-    none = F.lit("")
-    return (
-        F.when(name == "#if", pf_if(first, F.coalesce(at(0), none), at(1)))
-        .when(name == "#ifeq", pf_ifeq(first, F.coalesce(at(0), none), F.coalesce(at(1), none), at(2)))
-        .when(name == "#switch", pf_switch(first, cases)).when(name == "#expr", pf_expr(first))
-        .when(name == "#ifexpr", pf_ifexpr(pf_expr(first), F.coalesce(at(0), none), at(1)))
-        .when(name == "#iferror", pf_iferror(first, at(0), at(1)))
-        .when(name == "#tag", pf_tag(first, F.coalesce(at(0), none), call["named"]))
-        .when(name == "#titleparts", pf_titleparts(first, F.coalesce(at(0).cast("int"), F.lit(1)), F.coalesce(at(1).cast("int"), F.lit(1))))
-        .when(name == "#ifexist", F.when(page.isNotNull(), F.coalesce(at(0), none)).otherwise(F.coalesce(at(1), none)))
-        .when(name.startswith("#"), F.concat(F.lit("[["), name, F.lit("]]"))).otherwise(plain)
+def _with_function_value(calls: DataFrame) -> DataFrame:
+    """Adds f_value, what '#name:first|...' gives; unknown functions keep a mark of their name.
+
+    Parts that several functions use are columns of their own, so each is worked out once.
+    """
+    name, args, none = F.col("call.name"), F.col("call.positional"), F.lit("")
+    after_colon = F.when(F.instr(name, ":") > 0, F.substring(name, F.instr(name, ":") + 1, F.char_length(name)))
+    calls = calls.withColumns({"f_name": F.lower(trim_all(F.split_part(name, F.lit(":"), F.lit(1)))), "f_first": trim_all(F.coalesce(after_colon, F.get(args, 0), none)), "f_a": trim_all(F.get(args, 0)), "f_b": trim_all(F.get(args, 1)), "f_c": trim_all(F.get(args, 2))})
+    calls = calls.withColumn("f_number", pf_expr(F.when(F.col("f_name").isin("#expr", "#ifexpr"), F.col("f_first")).otherwise("")))
+    cases = F.concat(F.transform(F.map_entries("call.named"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), args)
+    f, first, a, b, c = F.col("f_name"), F.col("f_first"), F.col("f_a"), F.col("f_b"), F.col("f_c")
+    some = lambda x: F.coalesce(x, none)
+    value = (
+        F.when(f == "#if", pf_if(first, some(a), b)).when(f == "#ifeq", pf_ifeq(first, some(a), some(b), c)).when(f == "#switch", pf_switch(first, cases))
+        .when(f == "#expr", F.col("f_number")).when(f == "#ifexpr", pf_ifexpr(F.col("f_number"), some(a), b)).when(f == "#iferror", pf_iferror(first, a, b))
+        .when(f == "#tag", pf_tag(first, some(a), F.col("call.named"))).when(f == "#titleparts", pf_titleparts(first, F.coalesce(a.try_cast("int"), F.lit(1)), F.coalesce(b.try_cast("int"), F.lit(1))))
+        .when(f == "#ifexist", F.when(F.col("p_name").isNotNull(), some(a)).otherwise(some(b))).when(f.startswith("#"), F.concat(F.lit("[["), f, F.lit("]]")))
     )
+    return calls.withColumn("f_value", value)
+
+
+def _shown(x: Column) -> Column:
+    return replaced(x, (_OPEN, "{{"), (_CLOSE, "}}"))
 
 
-def expand_templates(docs: DataFrame, templates: DataFrame, key: str = "doc_id", text: str = "text", pages: DataFrame | None = None, max_depth: int = MAX_DEPTH, missing: str = "") -> DataFrame:
+def expand_templates(docs: DataFrame, templates: DataFrame, key: str = "doc_id", text: str = "text", pages: DataFrame | None = None, max_depth: int = MAX_DEPTH, missing: str | None = "", wrap: bool = False) -> DataFrame:
     """key, expanded. templates: title, content. pages: title of existing pages, for #ifexist.
 
-    A template that does not exist gives ``missing``. Each round has two joins on names and one on
+    A template that does not exist gives ``missing``. With wrap, what a template gives stands in a
+    transclusion span, and calls of templates that do not exist stay as they are. Each round has two joins on names and one on
     the page's key; sizes of the template side are Spark's to check.
     """
     bodies = templates.select(F.col("title").alias("t_name"), template_body(F.col("content")).alias("body")).dropDuplicates(["t_name"])
@@ -55,23 +62,32 @@ def expand_templates(docs: DataFrame, templates: DataFrame, key: str = "doc_id",
     done = None
     for _ in range(max_depth):
         now = now.withColumn("x", F.aggregate(F.array_distinct(F.regexp_extract_all("x", F.lit(TOP_ARG), F.lit(0))), F.col("x"), lambda t, m: F.replace(t, m, top_level_arg(F.substring(m, F.lit(4), F.char_length(m) - 6)))))
-        now = now.persist()
+        now = staged(now)
         still = now.where(F.col("x").rlike(INNERMOST))
         closed = now.where(~F.col("x").rlike(INNERMOST))
         done = closed if done is None else done.union(closed)
         if still.isEmpty():
-            return done.select(key, F.col("x").alias("expanded"))
-        calls = still.select(key, F.explode(F.array_distinct(F.regexp_extract_all("x", F.lit(INNERMOST), F.lit(1)))).alias("inner"))
-        calls = calls.withColumn("call", parse_invocation(F.col("inner")))
+            return done.select(key, _shown(F.col("x")).alias("expanded"))
+        # parsed before they are laid out, so that nothing is parsed again for each use of a part
+        parsed = lambda x: let(parse_invocation(x), lambda c: F.struct(x.alias("inner"), c.alias("call"), template_args(c).alias("args")))
+        found = F.array_distinct(F.regexp_extract_all("x", F.lit(INNERMOST), F.lit(1)))
+        calls = still.select(key, F.explode(F.transform(found, parsed)).alias("c")).select(key, "c.inner", "c.call", "c.args")
         calls = calls.withColumn("asked", F.when(F.col("call.name").rlike("(?i)^#ifexist"), trim_all(F.regexp_replace("call.name", "(?i)^#ifexist[^:]*:", ""))))
         lookup = F.regexp_replace("call.name", "(?i)^template:", "")
         calls = calls.withColumn("t_key", lookup).join(bodies, F.col("t_key") == F.col("t_name"), "left").join(known, F.col("asked") == F.col("p_name"), "left")
-        from_template = substitute_args(F.col("body"), template_args(F.col("call")))
-        value = F.when(F.col("call.name").startswith("#"), _function(F.col("call"), F.col("p_name"))).otherwise(F.coalesce(F.when(F.col("call.name") == "!", "|"), F.when(~F.contains("inner", F.lit("|")), variable(F.col("call.name"))), from_template, F.lit(missing)))
+        calls = _with_function_value(calls)
+        from_template = substitute_args(F.col("body"), F.col("args"))
+        if wrap:
+            from_template = F.concat(F.lit('<span typeof="mw:Transclusion">'), from_template, F.lit("</span>"))
+            known_name = F.col("t_name").isNotNull() | F.col("call.name").startswith("#") | is_variable(F.col("call.name")) | (F.col("call.name") == "!")
+            kept = F.concat(F.lit(_OPEN), "inner", F.lit(_CLOSE))
+        value = F.when(F.col("call.name").startswith("#"), F.col("f_value")).otherwise(F.coalesce(F.when(F.col("call.name") == "!", "|"), F.when(~F.contains("inner", F.lit("|")), variable(F.col("call.name"))), from_template, F.lit(missing)))
+        if wrap:
+            value = F.when(known_name, value).otherwise(kept)
         answers = calls.groupBy(key).agg(F.collect_list(F.struct("inner", value.alias("value"))).alias("answers"))
         put = F.aggregate("answers", F.col("x"), lambda t, a: F.replace(t, F.concat(F.lit("{{"), a["inner"], F.lit("}}")), a["value"]))
         now = still.join(answers, key).select(key, put.alias("x"))
-    return done.union(now).select(key, F.col("x").alias("expanded"))
+    return done.union(now).select(key, _shown(F.col("x")).alias("expanded"))
 
 
 def template_lookup(refs: DataFrame, templates: DataFrame, name: str = "name") -> DataFrame:
