@@ -11,11 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.site import PARAGRAPH_BREAKING_TAGS
-from ..functions.text import comment_escape, html_document, html_escape, let
+from ..functions.text import comment_escape, html_document, let
 from ..functions.titles import extlink_html, wikilink_html
 from .tokens import inline_quotes
 
 _BLOCK_LINE = r"(?i)^\s*</?(?:" + "|".join(PARAGRAPH_BREAKING_TAGS) + r")\b"
+#: Stand for quotes and brackets that are to be read as they are.
+_HELD = "\ue000\ue001\ue002"
 _TAG = r"</?[A-Za-z][A-Za-z0-9-]*(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>"
 
 
@@ -33,7 +35,8 @@ def _text_escaped(line: Column) -> Column:
 def inline_html(line: Column) -> Column:
     """Links, quotes, nowiki, comments and escapes of one line."""
     line = _text_escaped(line)
-    line = _folded(line, r"(?s)<nowiki>.*?</nowiki>", lambda m: F.translate(html_escape(F.regexp_replace(m, "^<nowiki>|</nowiki>$", "")), "'[]", ""))
+    literal = lambda m: F.translate(F.replace(F.regexp_replace(m, "^<nowiki>|</nowiki>$", ""), F.lit("<"), F.lit("&lt;")), "'[]", _HELD)
+    line = _folded(line, r"(?s)<nowiki>.*?</nowiki>", literal)
     line = F.regexp_replace(line, r"<nowiki\s*/>", "")
     line = _folded(line, r"(?s)<!--.*?-->", lambda m: F.concat(F.lit("<!--"), comment_escape(F.regexp_replace(F.replace(m, F.lit("&amp;"), F.lit("&")), "^<!--|-->$", "")), F.lit("-->")))
 
@@ -56,7 +59,7 @@ def inline_html(line: Column) -> Column:
     line = _folded(line, r"\[\[[^\[\]\n]+\]\]", wiki)
     line = _folded(line, r"\[(?:https?://|ftp://|mailto:|//)[^\]\n]*\]", external)
     line = F.regexp_replace(let(line, inline_quotes), r"(?i)<br\s*/?>", "<br/>")
-    return F.translate(line, "", "'[]")
+    return F.translate(line, _HELD, "'[]")
 
 
 def markup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

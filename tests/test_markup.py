@@ -90,13 +90,14 @@ def test_quotes(spark, line, want):
 
 
 def test_wt2html(spark):
-    pages = ["para one\n\npara two", "", None, "* a\n* b\n# c", "----", "<div>\ntext\n</div>", "<pre>\n* a\n</pre>", "[http://a.b c] & <x", "; t\n: d", "a <!-- x-y --> b"]
+    pages = ["para one\n\npara two", "", None, "* a\n* b\n# c", "----", "<div>\ntext\n</div>", "<pre>\n* a\n</pre>", "[http://a.b c] & <x", "; t\n: d", "a <!-- x-y --> b", "<nowiki>a & '''b''' [[c]] <i></nowiki> ''d''"]
     got = {r["doc_id"]: r["html"] for r in blocks.wt2html(docs(spark, *pages)).collect()}
     assert got[0] == "<p>para one</p>\n<p>para two</p>" and got[1] == "" and got[2] == ""
     assert got[3] == "<ul><li>a</li>\n<li>b</li></ul>\n<ol><li>c</li></ol>" and got[4] == "<hr/>"
     assert got[5] == "<div>\n<p>text</p>\n</div>" and got[6] == "<pre>\n* a\n</pre>"
     assert got[7] == '<p><a rel="mw:ExtLink" href="http://a.b">c</a> &amp; &lt;x</p>'
     assert got[8] == "<dl><dt>t</dt>\n<dd>d</dd></dl>" and got[9] == "<p>a <!-- x&#x2D;y --> b</p>"
+    assert got[10] == "<p>a &amp; '''b''' [[c]] &lt;i> <i>d</i></p>"
 
 
 def test_expansion(spark):
