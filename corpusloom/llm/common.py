@@ -36,6 +36,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A written table as a broadcast side of a join if it has few rows; as it is, for a shuffled join, if not."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def remove(df: DataFrame) -> None:
     """Deletes the folder of a table made by written()."""
     files = df.inputFiles()

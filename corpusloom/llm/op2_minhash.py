@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import small_side, table, written
 from .components import connected_components
 from .shingles import WordHashes, shingle_set, words_of
 from .sketch import Sketcher
@@ -120,7 +120,7 @@ def _fitting_members(percent: int):
                 if len(others):
                     needed[i] = needed[others] = True
             kept.append(unit[needed])
-        return pd.concat(kept)[["unit", "side", "band", "rep", "comp"]]
+        return pd.concat(kept)[["unit", "side", "band", "rep", "comp", "n", "sketch"]]
 
     return run
 
@@ -150,16 +150,20 @@ def _packed(units: DataFrame, row_bytes: float) -> DataFrame:
     return units.withColumn("pack", F.pmod(F.xxhash64("unit"), F.lit(packs)))
 
 
-def _checked(units: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links found among the units' rows (unit, side, band, rep, comp)."""
-    mean = sets.agg(F.avg(F.length("shingles"))).first()[0] or 0
-    full = _packed(units, mean + 2 * BANDS * ROWS).join(sets, "rep")
-    return full.groupBy("pack").applyInPandas(_confirmed(percent), "u long, v long")
+def _fitting_units(units: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The rows (unit, side, band, rep, comp) that have a partner to be confirmed, with n and sketch."""
+    light = _packed(units, 2 * BANDS * ROWS).join(sketches, "rep")
+    fitting = light.groupBy("pack").applyInPandas(_fitting_members(percent), "unit long, side int, band int, rep long, comp long, n long, sketch binary")
+    return written(fitting, "fitting")
 
 
-def _small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """A written table as a broadcast side if it has few rows; a plain side, for a shuffled join, if not."""
-    return F.broadcast(df) if df.count() <= most else df
+def _links(units: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links found among the rows of _fitting_units, on full shingle sets of their texts (rep, text)."""
+    needed = written(units.select("rep").distinct(), "needed")
+    sets = texts.join(small_side(needed), "rep", "left_semi").mapInPandas(_sets(k), "rep long, shingles binary")
+    mean = 8 * (units.agg(F.avg("n")).first()[0] or 0)
+    full = _packed(units, mean + 2 * BANDS * ROWS).join(sets, "rep")
+    return written(full.groupBy("pack").applyInPandas(_confirmed(percent), "u long, v long"), "links")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -175,7 +179,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     classes = written(
         rows.where("d1 is not null and doc_id is not null").groupBy("d1", "d2")
-        .agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "classes",
+        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes",
     )
     width = 2 * ROWS
     keyed = classes.select("rep", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring("sketch", i * width + 1, F.lit(width)))).alias("band", "part"))
@@ -186,21 +190,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     )
     buckets = written(buckets.select("key", "cnt", "lo", "hi"), "buckets")
     crowded = buckets.where("cnt > 2").select("key", "cnt", "lo")
-    members = written(keyed.join(_small(crowded), "key"), "members")
+    members = written(keyed.join(small_side(crowded), "key"), "members")
 
     star = members.where("rep != lo").select("lo", "rep").union(buckets.where("cnt = 2").select("lo", F.col("hi").alias("rep"))).distinct()
     star = written(star, "star")
-    active = written(star.select("rep").union(star.select("lo")).distinct(), "active")
-    text_of = docs.withColumnRenamed("doc_id", "rep").join(_small(active), "rep", "left_semi")
-    text_of = text_of.mapInPandas(_sets(k), "rep long, shingles binary").groupBy("rep").agg(F.min("shingles").alias("shingles"))
-    sketch_of = classes.join(_small(active), "rep", "left_semi").groupBy("rep").agg(F.min("sketch").alias("sketch"))
-    sets = written(text_of.join(sketch_of, "rep").withColumn("n", F.length("shingles") / 8), "sets")
+    active = small_side(written(star.select("rep").union(star.select("lo")).distinct(), "active"))
+    sketches = written(classes.select("rep", "n", "sketch").join(active, "rep", "left_semi").groupBy("rep").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch")), "sketches")
+    texts = docs.withColumnRenamed("doc_id", "rep")
 
     dealt = star.withColumn("unit", F.xxhash64("lo", F.pmod(F.xxhash64("rep"), F.lit(SPLITS))))
     units = dealt.select("unit", F.lit(1).alias("side"), F.lit(-1).alias("band"), "rep", F.col("rep").alias("comp")).union(
         dealt.select("unit", "lo").distinct().select("unit", F.lit(0), F.lit(-1), "lo", "lo")
     )
-    links = written(_checked(units, sets, percent), "links")
+    links = _links(_fitting_units(units, sketches, percent), texts, k, percent)
     comps = connected_components(links)
 
     labelled = written(
@@ -213,9 +215,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("own") <= F.col("other"), 0).otherwise(1)
     units = left.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), side.alias("side"), "band", "rep", "comp")
-    light = _packed(units, 2 * BANDS * ROWS).join(sets.select("rep", "sketch", "n"), "rep")
-    units = written(light.groupBy("pack").applyInPandas(_fitting_members(percent), "unit long, side int, band int, rep long, comp long"), "fitting")
-    more = written(_checked(units, sets, percent), "links")
+    more = _links(_fitting_units(units, sketches, percent), texts, k, percent)
 
     comps = connected_components(links.union(more)).withColumnRenamed("node", "rep")
     found = classes.select("d1", "d2", "rep").join(comps, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
