@@ -28,11 +28,14 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from typing import BinaryIO
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -43,7 +46,8 @@ from .common import new_folder, table, text_or_empty, written
 END_ID = 0
 BLOCK_BYTES, BLOOM_BITS, BLOOM_HASHES = 1 << 16, 10, 7
 _FOOTER, _MAGIC = struct.Struct("<QQIIQQ8s"), b"CLSSTAB1"
-_CACHE_LIMIT = 250_000
+_CACHE_LIMIT = 400_000
+_UNEVEN = r" (?:[\s\x{b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\z)"
 _SIGN = 1 << 63
 
 
@@ -199,10 +203,11 @@ class TableReader:
 
 
 class ChunkEncoder:
-    """Encodes texts with the tokenizers library, remembering the ids of pieces.
+    """Encodes texts with the tokenizers library, remembering the ids of words.
 
-    Byte-level BPE never merges across a space that a non-space follows, so a text may be cut before
-    each such space and its pieces encoded one by one; every piece is encoded by the library.
+    Byte-level BPE never merges across a space that a non-space follows, nor from letters to a
+    punctuation mark after them. So a text may be cut before each such space, and a word after its
+    letters, and the pieces encoded one by one; every piece is encoded by the library.
     """
 
     def __init__(self, path: str):
@@ -211,26 +216,78 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.known: dict[str, bytes] = {}
-        self.uneven = re.compile(r" (?:\s|\Z)")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for piece, i in vocabulary.items() if piece.startswith("\u0120")]] = True  # the sign of a space byte
+        self.words: dict[str, bytes] = {}  # without the space before them
+        self.tails: dict[str, bytes] = {}
         self.cut = re.compile(r"(?= \S)")
-
-    def _pieces(self, text: str) -> list[str]:
-        if self.uneven.search(text):
-            return self.cut.split(text)
-        head, *rest = text.split(" ")
-        return [head, *(" " + x for x in rest)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian bytes of self.width each."""
-        pieces = [self._pieces(t) for t in texts]
-        if len(self.known) > _CACHE_LIMIT:
-            self.known.clear()
-        new = sorted(set().union(*pieces) - self.known.keys())
-        got = self.tokenizer.encode_batch(new, add_special_tokens=False)
-        kind = f"<u{self.width}"
-        self.known.update((p, np.array(e.ids, kind).tobytes()) for p, e in zip(new, got))
-        return [b"".join(map(self.known.__getitem__, p)) for p in pieces]
+        letters = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+"
+        self.letters = re.compile(letters).fullmatch
+        self.stem = re.compile(letters + r"(?=[.,!?;:*%$#&|@\"'()\n-])")
+
+    def _encoded(self, pieces: list[str]) -> list[bytes]:
+        kind = "H" if self.width == 2 else "I"
+        return [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _encoded_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, each after a space: many are encoded as one text, and each word
+        begins at the one piece of it that begins with a space."""
+        out, width = [], self.width
+        texts = [" " + " ".join(words[at : at + 500]) for at in range(0, len(words), 500)]
+        for got in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            ids = np.array(got.ids, f"<u{width}")
+            starts, data = [*(np.flatnonzero(self.begins[ids]) * width).tolist(), len(ids) * width], ids.tobytes()
+            out += [data[a:b] for a, b in zip(starts, starts[1:])]
+        return out
+
+    def _learn(self, new: list[str]) -> None:
+        """new: words, without the space before them, whose ids are not known."""
+        words, tails = self.words, self.tails
+        parts = {w: m.end() for w in new if (m := self.stem.match(w))}
+        stems = list({w[: parts[w]] if w in parts else w for w in new if w in parts or self.letters(w)} - words.keys())
+        words.update(zip(stems, self._encoded_words(stems)))
+        other = [w for w in new if w not in parts and w not in words]
+        words.update(zip(other, self._encoded([" " + w for w in other])))
+        ends = list({w[n:] for w, n in parts.items()} - tails.keys())
+        tails.update(zip(ends, self._encoded(ends)))
+        words.update((w, words[w[:n]] + tails[w[n:]]) for w, n in parts.items())
+
+    def _odd(self, text: str) -> bytes:
+        """A text with a space before white space or at its end is cut at safe spaces only."""
+        return b"".join(self._encoded(self.cut.split(text)))
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text as little-endian bytes of self.width each.
+
+        The words of all texts are numbered at once; each distinct word is looked up once, and the
+        ids of its places are gathered by number.
+        """
+        odd = pc.match_substring_regex(texts, _UNEVEN).to_numpy(zero_copy_only=False)
+        even = texts.filter(pa.array(~odd))
+        lists = pc.split_pattern(even, " ")
+        numbered = pc.dictionary_encode(lists.flatten())
+        index, distinct = numbered.indices.to_numpy().astype(np.int64), numbered.dictionary.to_pylist()
+        if len(self.words) > _CACHE_LIMIT:  # what is frequent is in these texts too
+            self.words = {w: self.words[w] for w in distinct if w in self.words}
+            self.tails.clear()
+        self._learn([w for w in distinct if w not in self.words])
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        first = bounds[:-1] - bounds[0]  # a text's first word has no space before it
+        heads = self._encoded(lists.flatten().take(pa.array(first)).to_pylist())
+        index[first] = len(distinct) + np.arange(len(first))
+        pieces = [*map(self.words.__getitem__, distinct), *heads]
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // self.width
+        ids = np.frombuffer(b"".join(pieces), f"<u{self.width}")
+        starts, own = (np.cumsum(sizes) - sizes)[index], sizes[index]
+        ends = np.cumsum(own)
+        gathered = ids[np.repeat(starts - (ends - own), own) + np.arange(int(own.sum()))].tobytes()
+        cuts = (np.concatenate(([0], ends))[bounds - bounds[0]] * self.width).tolist()
+        out, at = [], 0
+        for i, strange in enumerate(odd.tolist()):
+            out.append(self._odd(texts[i].as_py()) if strange else gathered[cuts[at] : cuts[at + 1]])
+            at += not strange
+        return out
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
@@ -245,34 +302,34 @@ def _encoder(path: str) -> ChunkEncoder:
 # ---------------------------------------------------------------- Spark jobs
 
 
-def write_tables(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, at_once: int = 256) -> DataFrame:
+def write_tables(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, at_once: int = 1024) -> DataFrame:
     """Writes docs (doc_id, text) as shards in folder; returns shard, path, docs, ids of each."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text")).withColumn("salt", F.xxhash64("text"))
     rows = rows.repartitionByRange(F.asc_nulls_first("doc_id"), F.asc("salt")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "salt")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard = _encoder(tokenizer), TaskContext.get().partitionId()
         end = np.array([end_id], f"<u{encoder.width}").tobytes()
         name = f"{folder}/shard-{shard:07d}.sst"
         files, path = _file_system(name)
         out = writer = None
         for part in batches:
-            for at in range(0, len(part), at_once):
-                ids, texts = part["doc_id"].iloc[at : at + at_once], part["text"].iloc[at : at + at_once]
-                for doc_id, value in zip(ids, encoder.encode(texts.tolist())):
+            for at in range(0, part.num_rows, at_once):
+                some = part.slice(at, at_once)
+                for doc_id, value in zip(some["doc_id"].to_pylist(), encoder.encode(some["text"])):
                     if writer is None:
                         temporary = f"{path}.{uuid.uuid4().hex}"
                         files.create_dir(path.rpartition("/")[0], recursive=True)
                         out = files.open_output_stream(temporary)
                         writer = TableWriter(out, encoder.width)
-                    writer.add(key_of(None if pd.isna(doc_id) else doc_id), value + end)
+                    writer.add(key_of(doc_id), value + end)
         if writer is not None:
             writer.close()
             out.close()
             files.move(temporary, path)
-            yield pd.DataFrame({"shard": [shard], "path": [name], "docs": [writer.docs], "ids": [writer.ids]})
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [name], "docs": [writer.docs], "ids": [writer.ids]})
 
-    return written(rows.mapInPandas(run, "shard int, path string, docs long, ids long"), "shards")
+    return written(rows.mapInArrow(run, "shard int, path string, docs long, ids long"), "shards")
 
 
 def read_tables(shards: DataFrame) -> DataFrame:
@@ -295,7 +352,7 @@ def read_tables(shards: DataFrame) -> DataFrame:
                             out = []
                     yield _frame(out)
 
-    return placed.repartition("shard").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.repartition(max(1, shards.count()), "shard").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
