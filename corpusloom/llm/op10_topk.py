@@ -10,8 +10,8 @@ Queries are read in blocks of bounded size, each broadcast and held against all
 
 Rows: vectors that are null, empty, or hold null or non-finite parts, and rows with a null id take
 no part; a query meets only vectors of its own length; rows that share the query's id are its own;
-of several query rows with one id the smallest vector asks; ties go to the smaller id; repeated
-candidate rows are ranked one by one.
+of several query rows with one id the smallest vector asks; ties go to the smaller id; scores must
+fit into 64 bits; repeated candidate rows are ranked one by one.
 """
 
 from __future__ import annotations

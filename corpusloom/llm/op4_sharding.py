@@ -7,7 +7,7 @@ table depends on parameters only; it has exactly ``slots`` rows and is broadcast
 placed by one hash and one lookup.
 
 Rows: every row gets a shard, equal keys the same one; null keys share one slot; other columns stay
-as they are. A column named like a result column is replaced in no case: it raises an error.
+as they are. A table that has a column named slot or shard already is refused with an error.
 """
 
 from __future__ import annotations

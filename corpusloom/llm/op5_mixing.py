@@ -77,7 +77,7 @@ def fitted_cells(cells: DataFrame, targets: dict, rounds: int = ROUNDS, toleranc
             now = now.withColumn("w", F.col("w") * F.col(f"t_{dim}") / F.sum("w").over(Window.partitionBy(dim)))
         now = written(now, "cells")
         off = [now.groupBy(d).agg((F.sum("w") - F.first(f"t_{d}")).alias("off")) for d in DIMENSIONS]
-        worst = off[0].union(off[1]).union(off[2]).agg(F.max(F.abs("off"))).first()[0] if now.columns else None
+        worst = off[0].union(off[1]).union(off[2]).agg(F.max(F.abs("off"))).first()[0]
         if worst is None or worst <= tolerance:
             break
     return now
