@@ -57,7 +57,8 @@ def random_samples(spark: SparkSession, n: int = SAMPLE_RANDOM) -> DataFrame:
 
 def ordinary_samples(docs: DataFrame, n: int = SAMPLE_DOCS) -> DataFrame:
     """value: words of the n documents with the smallest id hashes, alone and joined as identifiers are."""
-    some = docs.select("doc_id", text_or_empty("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    ids = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)  # n rows, so it may be broadcast
+    some = docs.select("doc_id", text_or_empty("text").alias("text")).join(F.broadcast(ids), "doc_id")
     word = F.regexp_extract_all("text", F.lit("[A-Za-z]{2,15}"), F.lit(0))
     pairs = some.select(word.alias("w")).select(F.explode(F.arrays_zip(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))).alias("a"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("b"))).alias("p"))
     a, b = F.coalesce("p.a", F.lit("")), F.coalesce("p.b", F.lit(""))
