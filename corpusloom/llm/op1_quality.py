@@ -78,7 +78,7 @@ def _descend(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost: flo
     """Dual coordinate descent for the L1 hinge loss; the intercept is a constant feature of 1."""
     w, bias = np.zeros(1 << BITS), 0.0
     alpha = np.zeros(len(rows))
-    values = [(v / n if (n := np.sqrt((v * v).sum())) > 0 else v) for v in (scale[i] for i in rows)]
+    values = [(v / n if (n := np.sqrt((v * v).sum())) > 0 else v).astype(np.float32) for v in (scale[i] for i in rows)]
     sq = np.array([float(v @ v) + 1 for v in values])
     order = np.random.default_rng(7)
     for _ in range(rounds):
