@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import table, written
+from corpusloom.llm.common import small_side, table, written
 from corpusloom.llm.op1_quality import THRESHOLD, learn, score
 from corpusloom.llm.op2_minhash import near_duplicates
 from corpusloom.llm.op4_sharding import with_shard
@@ -24,10 +24,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near-duplicates (5 words, 0.8)."""
-    found = near_duplicates(docs, k=5, percent=80)
-    dropped = found.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    """Keeps the document with the smallest id of each group of near-duplicates (5 words, 0.8).
+
+    Rows that repeat an id and a text are one document; rows without an id stay.
+    """
+    found = written(near_duplicates(docs, k=5, percent=80).select("doc_id", "kept"), "near")
+    dropped = written(found.where(~F.col("kept")).select("doc_id").distinct(), "dropped")
+    left = docs.join(small_side(dropped), "doc_id", "left_anti").select(*docs.columns)
+    often = written(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "often")
+    if often.isEmpty():
+        return left
+    once = left.join(small_side(often), "doc_id", "left_anti").select(*docs.columns)
+    return once.unionByName(left.join(small_side(often), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

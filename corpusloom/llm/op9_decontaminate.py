@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_side, table, written
 from .shingles import WordHashes, mix
 
 MASKS = ("11101011", "110100111")
@@ -134,8 +134,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without the rows whose id has an overlap with the benchmark; rows with a null id stay."""
-    hits = contaminated(docs, benchmark, **options).select("doc_id").where("doc_id is not null").distinct()
-    return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
+    hits = written(contaminated(docs, benchmark, **options).select("doc_id").where("doc_id is not null").distinct(), "hits")
+    return docs.join(small_side(hits), "doc_id", "left_anti").select(*docs.columns)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
