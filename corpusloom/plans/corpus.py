@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text, titles
+from ..functions import site, text, titles
 from ..functions.registry import ExtensionTags, is_transient
 from ..operators import blocks, diff, expand, html, tokens
 from ..sources import fixtures, lookups
@@ -83,6 +83,11 @@ query("strip_comments", "select page_id, regexp_replace(html, '<!--.*?-->', '',
 _TAGS = "('article', 'nav', 'ul', 'li', 'a', 'h1', 'b', 'br', 'footer', 'div')"
 query("html_tag_counts", f"select page_id, tag, count(*) as n from (select page_id, unnest(regexp_extract_all(html, '<([a-z0-9]+)[ >]', 1)) as tag from pages) where tag in {_TAGS} group by all")(lambda s, d: html.html_tags(read(s, d, "pages")).where(f"not closing and tag in {_TAGS}").groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n")))
 query("html_elements", "select page_id, 'Wikilink' as elem_kind, len(regexp_extract_all(html, '<a href'))::bigint as n from pages where contains(html, '<a href') union all select page_id, 'Heading', 1 from pages union all select page_id, 'ListItem', len(regexp_extract_all(html, '<li>'))::bigint from pages where contains(html, '<li>')")(lambda s, d: html.html_nodes(read(s, d, "pages")).where("elem_kind in ('Wikilink', 'Heading', 'ListItem')").groupBy("page_id", "elem_kind").agg(F.count(F.lit(1)).alias("n")))
+# every tag and kind; comments and raw text, which hold no tags, are taken out in the SQL first
+ALL_TAGS_SQL = "regexp_extract_all(regexp_replace(regexp_replace({}, '<!--.*?-->', '', 'gs'), '(<(?:script|style|title|textarea)[^>]*>).*?</', '\\1</', 'gs'), '<([a-z][a-z0-9]*)[^>]*>', 1)"
+query("html_tag_counts_whole", f"select page_id, tag, count(*) as n from (select page_id, unnest({ALL_TAGS_SQL.format('html')}) as tag from pages) group by all")(lambda s, d: html.html_tags(read(s, d, "pages")).where("not closing").groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n")))
+_KINDS_SQL = " ".join(f"when '{k}' then '{v}'" for k, v in sorted(site.TAG_KINDS.items()) if k != "a")
+query("html_elements_whole", f"select page_id, case when tag = 'a' then 'Wikilink' when regexp_matches(tag, '^h[1-6]$') then 'Heading' else case tag {_KINDS_SQL} else 'Other' end end as elem_kind, count(*) as n from (select page_id, unnest({ALL_TAGS_SQL.format("case when contains(html, '</body>') then regexp_extract(html, '(?s)<body[^>]*>(.*)</body>', 1) else html end")}) as tag from pages) group by all")(lambda s, d: html.html_nodes(read(s, d, "pages")).where("node_kind = 'Element'").groupBy("page_id", "elem_kind").agg(F.count(F.lit(1)).alias("n")))
 query("html_list_texts", "select page_id, unnest(regexp_extract_all(html, '<a href=\"[^\"]*\">([^<]*)</a>', 1)) as text from pages")(lambda s, d: html.html_nodes(read(s, d, "pages")).alias("t").join(html.html_nodes(read(s, d, "pages")).where("tag = 'a'").select("page_id", C("node_id").alias("parent_id")), ["page_id", "parent_id"]).select("page_id", "text"))
 query("html2wt_links", "select page_id, len(regexp_extract_all(html, '<a href'))::bigint as links from pages")(lambda s, d: read(s, d, "pages").select("page_id", F.size(F.regexp_extract_all(html.html2wt(C("html")), F.lit(r"\[\[/[^\]|]*\|"), F.lit(0))).cast("long").alias("links")))
 query("html2wt", "select p_partkey, '==' || p_brand || '==' || chr(10) || '''''' || p_name || ''''' and ''''''' || p_type || '''''''' || chr(10) || '[[x|' || p_brand || ']]' || chr(10) || '* one' || chr(10) || '# two' || chr(10) || '----' as out from part")(lambda s, d: read(s, d, "part").select("p_partkey", F.trim(F.rtrim(F.regexp_replace(html.html2wt(F.concat(F.lit("<body><h2>"), "p_brand", F.lit("</h2><p><i>"), "p_name", F.lit("</i> and <b>"), "p_type", F.lit('</b></p><p><a href="x">'), "p_brand", F.lit("</a></p><ul><li>one</li></ul><ol><li>two</li></ol><hr/></body>"))), r"\n\z", ""))).alias("out")))

@@ -49,6 +49,9 @@ _column("ustring_len", "documents", "doc_id", lambda: text.ustring_len(C("text")
 _column("ustring_sub", "documents", "doc_id", lambda: F.concat_ws("|", text.ustring_sub(C("text"), F.lit(3), F.lit(7)), text.ustring_sub(F.substring("text", 1, 9), F.lit(-4)), text.ustring_sub(F.substring("text", 1, 9), F.lit(2), F.lit(-3))), "substring(text, 3, 7) || '|' || (case when length(substring(text, 1, 9)) <= 4 then substring(text, 1, 9) else right(substring(text, 1, 9), 4) end) || '|' || substring(substring(text, 1, 9), 2, greatest(0, length(substring(text, 1, 9)) - 4))")
 _column("ustring_lower", "documents", "doc_id", lambda: F.lower("text"), "lower(text)")
 query("ustring_upper", "select doc_id, upper(text) as out from documents where not contains(text, 'ß')")(lambda s, d: read(s, d, "documents").where(~C("text").contains("ß")).select("doc_id", F.upper("text").alias("out")))
+# the SQL of ustring_upper and ustring_sub leaves out rows with ß and cuts the texts; these take every row and the whole text
+query("ustring_upper_whole", "select doc_id, upper(replace(text, 'ß', 'SS')) as out from documents")(lambda s, d: read(s, d, "documents").select("doc_id", F.upper("text").alias("out")))
+_column("ustring_sub_whole", "documents", "doc_id", lambda: F.concat(text.ustring_sub(C("text"), F.lit(3), F.lit(7)), F.lit("|"), text.ustring_sub(C("text"), F.lit(-4)), F.lit("|"), text.ustring_sub(C("text"), F.lit(2), F.lit(-3))), "substring(text, 3, 7) || '|' || (case when length(text) <= 4 then text else right(text, 4) end) || '|' || substring(text, 2, greatest(0, length(text) - 4))")
 _column("sanitize_attr", "pages", "page_id", lambda: text.sanitize_attr(F.concat(F.lit("x javascript:data:"), C("url"))), "'x ' || url")
 _column("sanitize_url", "pages", "page_id", lambda: text.sanitize_url(F.concat(F.when(C("page_id") % 3 == 0, " JavaScript:").otherwise(" "), C("url"), F.lit(" "))), "case when page_id % 3 = 0 then '' else url end")
 _column("title_normalize", "part", "p_partkey", lambda: text.normalize_title(F.concat(F.lit("_"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(" "))), "trim(p_name)")

@@ -40,3 +40,17 @@ def test_query(spark, sf, views, name):
     order = sorted(names)
     want = sorted(repr([plain(r[names.index(c)]) for c in order]) for r in answer.fetchall())
     assert sorted(repr([plain(r[c]) for c in order]) for r in df.collect()) == want
+
+
+def test_whole_queries(spark, tmp_path):
+    """Rows with ß, null texts, negative starts on long texts and every tag, by hand."""
+    spark.createDataFrame([(1, "Straße"), (2, None), (3, "abcdefghijklmnop")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    page = "<html><head><title>a<b></title><style>p{}</style></head><body><!-- <i> --><h2>x</h2><p>y<a href='/z'>z</a><script>var t='<p>'</script></p></body></html>"
+    spark.createDataFrame([(1, page)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = lambda name: sorted((tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()), key=repr)
+    assert rows("ustring_upper_whole") == [(1, "STRASSE"), (2, None), (3, "ABCDEFGHIJKLMNOP")]
+    assert rows("ustring_sub_whole") == [(1, "raße|raße|tr"), (2, None), (3, "cdefghi|mnop|bcdefghijklm")]
+    assert rows("html_tag_counts_whole") == sorted(((1, t, 1) for t in "html head title style body h2 p a script".split()), key=repr)
+    assert {(k, n) for _, k, n in rows("html_elements_whole")} >= {("Heading", 1), ("Paragraph", 1), ("Wikilink", 1)}
+    assert sum(n for _, _, n in rows("html_elements_whole")) == 4
+    assert {t for t, *_ in rows("tag_classes_whole")} == set("html head title style body h2 p a script".split())
