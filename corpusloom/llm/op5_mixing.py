@@ -3,7 +3,14 @@
 Documents fall into cells of source, language and topic; a cell's weight starts as its number of
 words. Each round scales the weights to the target share of every source, then of every language,
 then of every topic, until no margin is off by more than ``tolerance``. A document is then sampled
-with probability keep * (fitted weight / words) of its cell, at most 1, against a hash of its id.
+with probability keep * (fitted weight / words) of its cell against a hash of its id.
+
+No cell can give more words than it has, so its weight is bounded by words / (keep * all words)
+within the fit: margins are sums of the bounded weights, and the unbounded weight of a category's
+other cells grows until they make up for the ones at their bound. Where targets need more words than
+there are, all cells of the short category end at their bound and the rest is at its targets; the
+sample is smaller by what is missing. op5_source_mixing keeps to its SQL, which fits without the
+bound and clips afterwards; op5_bounded_mixing and the pipeline fit with it.
 
 Targets: for each of the three a number a gives every category the share (its own share) ** a,
 scaled to 1, so 1 keeps and 0 levels the observed shares; a dictionary gives raw weights, and
@@ -66,34 +73,44 @@ def _with_target(cells: DataFrame, dim: str, target: float | dict[str, float]) -
     return cells.join(own, F.col(dim).eqNullSafe(F.col("category"))).drop("category")
 
 
-def fitted_cells(cells: DataFrame, targets: dict, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """cells (source, lang, topic, tokens) with t_<dimension> and the fitted weight w; w sums to 1."""
+def fitted_cells(cells: DataFrame, targets: dict, rounds: int = ROUNDS, tolerance: float = TOLERANCE, keep: float | None = None) -> DataFrame:
+    """cells (source, lang, topic, tokens) with t_<dimension> and the fitted weight w.
+
+    w sums to 1, or to less where keep is given and its bound rules out the targets.
+    """
     cells = cells.where("tokens > 0")
     for dim in DIMENSIONS:
         cells = _with_target(cells, dim, targets[dim])
-    now = written(cells.withColumn("w", F.col("tokens").cast("double")), "cells")
+    share = F.col("tokens") / F.sum("tokens").over(Window.partitionBy())
+    bound = F.lit(float("inf")) if keep is None else share / F.lit(float(keep))
+    now = written(cells.withColumns({"u": share if keep is not None else F.col("tokens").cast("double"), "bound": bound}), "cells")
+    w = F.least("u", "bound")
     for _ in range(0, rounds, AT_ONCE):
+        now = now.withColumn("before", w)
         for dim in DIMENSIONS * AT_ONCE:
-            now = now.withColumn("w", F.col("w") * F.col(f"t_{dim}") / F.sum("w").over(Window.partitionBy(dim)))
+            now = now.withColumn("u", F.col("u") * F.col(f"t_{dim}") / F.sum(w).over(Window.partitionBy(dim)))
         now = written(now, "cells")
-        off = [now.groupBy(d).agg((F.sum("w") - F.first(f"t_{d}")).alias("off")) for d in DIMENSIONS]
+        off = [now.groupBy(d).agg((F.sum(w) - F.first(f"t_{d}")).alias("off")) for d in DIMENSIONS]
         worst = off[0].union(off[1]).union(off[2]).agg(F.max(F.abs("off"))).first()[0]
-        if worst is None or worst <= tolerance:
+        moved = now.agg(F.max(F.abs(w - F.col("before")))).first()[0]
+        now = now.drop("before")
+        if worst is None or worst <= tolerance or moved <= tolerance:
             break
-    return now
+    return now.withColumn("w", w).drop("u", "bound")
 
 
-def mixed(docs: DataFrame, targets: dict | None = None, keep: float = KEEP) -> DataFrame:
+def mixed(docs: DataFrame, targets: dict | None = None, keep: float = KEEP, bounded: bool = True) -> DataFrame:
     """docs with more columns: mix_topic, mix_tokens, mix_weight, mix_probability, mix_kept.
 
     mix_weight is the fitted weight of a word of the cell relative to its own: 1 leaves it as it is.
+    Without ``bounded`` it may be above 1 / keep, and the clipped probability misses the targets.
     """
     targets = TARGETS | (targets or {})
     text = text_or_empty("text")
     marked = docs.withColumns({"mix_topic": topic_of(text), "mix_tokens": n_words(text)})
     keys = (F.col("source").alias("source"), F.col("lang").alias("lang"), F.col("mix_topic").alias("topic"))
     cells = written(marked.groupBy(*keys).agg(F.sum("mix_tokens").alias("tokens")), "cells")
-    fitted = fitted_cells(cells, targets, ROUNDS, TOLERANCE)
+    fitted = fitted_cells(cells, targets, ROUNDS, TOLERANCE, keep if bounded else None)
     ratio = fitted.select(
         F.col("source").alias("c_source"), F.col("lang").alias("c_lang"), F.col("topic").alias("c_topic"),
         (F.col("w") * F.sum("tokens").over(Window.partitionBy()) / F.col("tokens")).alias("mix_weight"),
@@ -105,11 +122,19 @@ def mixed(docs: DataFrame, targets: dict | None = None, keep: float = KEEP) -> D
     return out.withColumn("mix_kept", _chance(F.col("doc_id"), text_or_empty("text")) < F.col("mix_probability"))
 
 
-def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
+def _mixing(spark: SparkSession, sf_dir: str, bounded: bool) -> DataFrame:
+    out = mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), bounded=bounded)
     return out.select("doc_id", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("tokens"), F.round("mix_weight", 6).alias("weight"), F.round("mix_probability", 6).alias("probability"), F.col("mix_kept").alias("kept"))
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixing(spark, sf_dir, bounded=False)
+
+
+def op5_bounded_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixing(spark, sf_dir, bounded=True)
+
+
 def _target_sql(dim: str, target: float | dict[str, float]) -> str:
     if isinstance(target, dict):
         whens = " ".join(f"when '{k}' then {float(v)!r}" for k, v in sorted(target.items()))

@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": op3_secret_scan,
     "op4_shard_placement": op4_shard_placement,
     "op5_source_mixing": op5_mixing.op5_source_mixing,
+    "op5_bounded_mixing": op5_mixing.op5_bounded_mixing,
     "op6_token_tables": op6_token_tables,
     "op7_url_filter": op7_url_filter,
     "op8_html_main_text": op8_html_main_text,

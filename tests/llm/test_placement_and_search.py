@@ -87,6 +87,29 @@ def test_mixing_reaches_targets(spark):
     assert abs(kept - sum(r["mix_probability"] for r in out)) < 5 * math.sqrt(600 * 0.25)
 
 
+def test_mixing_makes_up_for_full_cells(spark):
+    """The cell (s0, en) is at its bound; the targets are still met by the other cells."""
+    cells = [("s0", "en", 200), ("s0", "de", 2600), ("s1", "en", 2600), ("s1", "de", 4600)]
+    docs = spark.createDataFrame([(i * 1000 + j, "w " * 100, lang, source) for i, (source, lang, n) in enumerate(cells) for j in range(n // 100)], "doc_id long, text string, lang string, source string")
+    targets = {"source": {"s0": 0.45, "s1": 0.55}, "lang": {"en": 0.45, "de": 0.55}, "topic": 1.0}
+    free = op5_mixing.mixed(docs, targets, keep=0.6, bounded=False)
+    assert free.agg(F.max("mix_weight")).first()[0] > 1 / 0.6
+    out = [r.asDict() for r in op5_mixing.mixed(docs, targets, keep=0.6).collect()]
+    total = sum(r["mix_tokens"] * r["mix_probability"] for r in out)
+    assert total == pytest.approx(0.6 * 10000, rel=1e-6)
+    for dim, name, share in (("source", "s0", 0.45), ("lang", "en", 0.45)):
+        assert sum(r["mix_tokens"] * r["mix_probability"] for r in out if r[dim] == name) / total == pytest.approx(share, abs=1e-6)
+    assert max(r["mix_weight"] for r in out) == pytest.approx(1 / 0.6)
+
+
+def test_mixing_with_too_few_words(spark):
+    """A category that cannot reach its target is taken whole and the other keeps its own target."""
+    docs = spark.createDataFrame([(i, "w " * 100, "en" if i % 10 else "es", "s") for i in range(100)], "doc_id long, text string, lang string, source string")
+    out = op5_mixing.mixed(docs, {"source": 1.0, "lang": {"en": 0.5, "es": 0.5}, "topic": 1.0}, keep=0.5).collect()
+    assert {r["mix_probability"] for r in out if r["lang"] == "es"} == {1.0}
+    assert all(r["mix_kept"] for r in out if r["lang"] == "es")
+
+
 def test_mixing_awkward(spark):
     docs = awkward(spark)
     out = op5_mixing.mixed(docs)
