@@ -1,17 +1,18 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 A spaced seed is a fixed mask over consecutive tokens; only the tokens under a 1 enter the hash, so
-a substituted token under a 0 does not hide an overlap. MASKS find every 13-token overlap with up
-to two substitutions (tests try all placements). Hashes of the benchmark join hashes of the
-documents; around each hit the aligned tokens are compared, and the overlap counts when some window
+a substituted token under a 0 does not hide an overlap. MASKS find every overlap of 13 and more
+tokens with up to two substitutions; shorter ones, and those with more substitutions, have a family
+of masks for their length and number of substitutions (tests try all placements). Hashes of the
+benchmark join hashes of the documents; around each hit the aligned tokens are compared, and the overlap counts when some window
 of ``window`` aligned tokens (the whole item, if shorter) has at least ``share`` of them equal.
 
 The benchmark is dealt into blocks of bounded size; each block is broadcast once and held against
 all rows, so no text leaves its task and no pair is shuffled.
 
-Rows: null or empty texts and items with fewer than ``least`` tokens match nothing; repeated rows
-give repeated results only if their ids differ; rows with a null id are held against the benchmark
-and carry a null id; other columns are ignored.
+Rows: null or empty texts and items with fewer than ``least`` tokens match nothing (one or two words
+would take out most of a corpus); repeated rows give repeated results only if their ids differ; rows
+and items with a null id are compared like others and carry a null id; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -29,6 +31,8 @@ from .common import small_side, table, written
 from .shingles import WordHashes, mix
 
 MASKS = ("11101011", "110100111")
+MASKS_SPAN, MASKS_ERRORS = 13, 2  # what MASKS cover
+LEAST_WEIGHT = 4  # tokens that a mask of a family hashes, where the length has as many
 WINDOW, SHARE, LEAST = 13, 0.8, 5
 BLOCK_BYTES = 8 << 20  # of benchmark text in one broadcast, on average
 _TABLE_BITS = 22
@@ -43,6 +47,26 @@ def tokens_of(text: str | None) -> np.ndarray:
     return np.fromiter((_HASHES[w.encode("utf-8", "surrogatepass")] for w in words), np.uint64, len(words))
 
 
+def least_equal(need: int, share: float) -> int:
+    return math.ceil(share * need - 1e-9)
+
+
+def masks_for(need: int, errors: int) -> tuple[str, ...]:
+    """Masks that find need aligned tokens with up to errors substitutions, wherever these are.
+
+    The tokens are cut into blocks; each mask leaves out ``errors`` of the blocks, so one of them
+    leaves out every block with a substitution. The fewest blocks that leave enough tokens are taken.
+    """
+    if need >= MASKS_SPAN and errors <= MASKS_ERRORS:
+        return MASKS
+    for blocks in range(errors + 1, need + 1):
+        block = [j * blocks // need for j in range(need)]
+        masks = ["".join("01"[b not in out] for b in block) for out in combinations(range(blocks), errors)]
+        if min(m.count("1") for m in masks) >= min(LEAST_WEIGHT, need - errors):
+            return tuple(masks)
+    return ("0" * need,)  # nothing needs to agree
+
+
 def _seed_hashes(tokens: np.ndarray, mask: str) -> np.ndarray:
     n = len(tokens) - len(mask) + 1
     if n <= 0:
@@ -58,22 +82,25 @@ def _seed_hashes(tokens: np.ndarray, mask: str) -> np.ndarray:
 class SeedIndex:
     """Seeds of a bounded block of benchmark items, sorted by hash."""
 
-    def __init__(self, ids: list[int], texts: list[str], window: int, share: float, least: int):
+    def __init__(self, ids: list[int | None], texts: list[str], window: int, share: float, least: int):
         self.window, self.share = window, share
-        self.ids, self.tokens, shortest = [], [], min(map(len, MASKS))
+        self.ids, self.tokens = [], []
         for i, t in zip(ids, texts):
             tokens = tokens_of(t)
             if len(tokens) >= least:
                 self.ids.append(i)
                 self.tokens.append(tokens)
-        lengths = sorted({len(t) for t in self.tokens if len(t) < shortest})
-        self.masks = [*MASKS, *("1" * n for n in lengths)]
+        users: dict[str, list[int]] = {}  # mask: its items
+        for i, tokens in enumerate(self.tokens):
+            need = min(window, len(tokens))
+            for mask in masks_for(need, need - least_equal(need, share)):
+                users.setdefault(mask, []).append(i)
+        self.masks = sorted(users)
         parts = []
-        for k, mask in enumerate(self.masks):
-            for i, tokens in enumerate(self.tokens):
-                if k < len(MASKS) or len(tokens) == len(mask):
-                    h = _seed_hashes(tokens, mask)
-                    parts.append(np.stack((h, np.full(len(h), i, np.uint64), np.arange(len(h), dtype=np.uint64))))
+        for mask in self.masks:
+            for i in users[mask]:
+                h = _seed_hashes(self.tokens[i], mask)
+                parts.append(np.stack((h, np.full(len(h), i, np.uint64), np.arange(len(h), dtype=np.uint64))))
         seeds = np.concatenate(parts, axis=1) if parts else np.empty((3, 0), np.uint64)
         seeds = seeds[:, np.argsort(seeds[0], kind="stable")]
         self.hash, self.item, self.at = seeds[0].copy(), seeds[1].astype(np.int64), seeds[2].astype(np.int64)
@@ -101,7 +128,7 @@ class SeedIndex:
             equal = item[first:last] == tokens[first + shift : last + shift]
             sums = np.concatenate(([0], np.cumsum(equal)))
             inside = sums[need:] - sums[:-need]
-            good = np.flatnonzero(inside >= math.ceil(self.share * need - 1e-9))
+            good = np.flatnonzero(inside >= least_equal(need, self.share))
             if len(good):
                 start, end = int(good[0]), int(good[-1]) + need
                 row = (first + start + shift, first + start, end - start, int(sums[end] - sums[start]))
@@ -113,19 +140,19 @@ class SeedIndex:
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, least: int = LEAST) -> DataFrame:
     """doc_id, item_id, doc_start, item_start, n_tokens, n_equal: a row for each document and item that overlap."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null").distinct()
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
     found = None
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        shared = docs.sparkSession.sparkContext.broadcast(sorted((r["item_id"], r["text"]) for r in part))
+        shared = docs.sparkSession.sparkContext.broadcast(sorted(((r["item_id"], r["text"]) for r in part), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             index = SeedIndex([i for i, _ in shared.value], [t for _, t in shared.value], window, share, least)
             for rows in batches:
                 out = [(d, *x) for d, t in zip(rows["doc_id"], rows["text"]) for x in index.overlaps(tokens_of(t))]
-                yield pd.DataFrame(out, columns=["doc_id", "item_id", "doc_start", "item_start", "n_tokens", "n_equal"]).astype({"doc_id": "Int64"})
+                yield pd.DataFrame(out, columns=["doc_id", "item_id", "doc_start", "item_start", "n_tokens", "n_equal"]).astype({"doc_id": "Int64", "item_id": "Int64"})
 
         got = docs.mapInPandas(run, "doc_id long, item_id long, doc_start long, item_start long, n_tokens long, n_equal long")
         found = got if found is None else found.union(got)

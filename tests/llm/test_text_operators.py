@@ -214,6 +214,32 @@ def test_decontamination(spark):
     assert op9_decontaminate.contaminated(documents(spark, rows), bench.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("n", range(5, 16))
+def test_short_items_with_every_placement_of_substitutions(n):
+    item = [f"q{i}" for i in range(n)]
+    index = op9_decontaminate.SeedIndex([1], [" ".join(item)], 13, 0.8, 5)
+    need = min(13, n)
+    most = need - -(-need * 8 // 10)
+    for errors in range(most + 2):
+        for at in itertools.combinations(range(n), errors):
+            doc = ["a", "b"] + ["other" if i in at else w for i, w in enumerate(item)] + ["c"]
+            assert bool(index.overlaps(op9_decontaminate.tokens_of(" ".join(doc)))) == plain_overlap(doc, item), at
+
+
+@pytest.mark.parametrize("window, share", [(13, 0.6), (20, 0.8), (8, 0.5)])
+def test_masks_of_other_windows(window, share):
+    need = op9_decontaminate.least_equal(window, share)
+    masks = op9_decontaminate.masks_for(window, window - need)
+    for gaps in itertools.combinations(range(window), window - need):
+        assert any(all(m[g] == "0" for g in gaps) for m in masks)
+
+
+def test_items_without_id(spark):
+    bench = spark.createDataFrame([(None, "what is the capital of France"), (3, "who wrote the first long novel")], "item_id long, text string")
+    docs = documents(spark, [(1, "so what is the capital of Spain then"), (2, "who wrote the first long novel"), (4, "nothing here of interest to anyone at all")])
+    assert {(r["doc_id"], r["item_id"]) for r in op9_decontaminate.contaminated(docs, bench).collect()} == {(1, None), (2, 3)}
+
+
 def plain_overlap(doc, item):
     need = min(13, len(item))
     for shift in range(-len(item) + need, len(doc) - need + 1):
