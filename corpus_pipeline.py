@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import small_side, table, written
+from corpusloom.llm.common import free_name, small_side, table, written
 from corpusloom.llm.op1_quality import THRESHOLD, learn, score
-from corpusloom.llm.op2_minhash import near_duplicates
+from corpusloom.llm.op2_minhash import decided, digest_of
 from corpusloom.llm.op4_sharding import with_shard
 from corpusloom.llm.op5_mixing import mixed
-from corpusloom.llm.op9_decontaminate import without_contaminated
+from corpusloom.llm.op9_decontaminate import clean_rows
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,23 +24,46 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near-duplicates (5 words, 0.8).
+    """Keeps one row of each group of near-duplicates (5 words, 0.8): the one with the smallest id.
 
-    Rows that repeat an id and a text are one document; rows without an id stay.
+    Rows are decided by id and text. Rows of one id with texts that are no near-duplicates stay both;
+    rows without an id go where a row with an id has a near-duplicate text. Rows with blank texts stay,
+    once for each id and text, or all of them where they have no id.
     """
-    found = written(near_duplicates(docs, k=5, percent=80).select("doc_id", "kept"), "near")
-    dropped = written(found.where(~F.col("kept")).select("doc_id").distinct(), "dropped")
-    left = docs.join(small_side(dropped), "doc_id", "left_anti").select(*docs.columns)
-    often = written(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "often")
-    if often.isEmpty():
-        return left
-    once = left.join(small_side(often), "doc_id", "left_anti").select(*docs.columns)
-    return once.unionByName(left.join(small_side(often), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+    found = written(decided(docs, k=5, percent=80).select("doc_id", "d1", "d2", "chosen"), "near")
+    ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("chosen").alias("some"))
+    dropped = written(ids.where("not some").select("doc_id"), "dropped")
+    often = written(ids.where("some and n > 1").select("doc_id"), "often")
+    named = docs.where("doc_id is not null")
+    parts = [named.join(small_side(dropped.union(often)), "doc_id", "left_anti").select(*docs.columns)]
+    mark = free_name(docs, "digest")
+    held = [F.coalesce(f"{mark}.d1", F.lit(0)), F.coalesce(f"{mark}.d2", F.lit(0))]
+    blank = F.col(f"{mark}.d1").isNull()
+
+    def chosen(rows: DataFrame, keys: DataFrame) -> DataFrame:
+        """The rows whose id and digest are among keys, one row of each; of blank texts one of each text."""
+        rows = rows.withColumn(mark, digest_of(F.col("text"), 5))
+        keys = keys.select(F.col("doc_id").alias("k_id"), F.coalesce("d1", F.lit(0)).alias("k1"), F.coalesce("d2", F.lit(0)).alias("k2")).distinct()
+        on = F.col("doc_id").eqNullSafe(F.col("k_id")) & (held[0] == F.col("k1")) & (held[1] == F.col("k2"))
+        rows = rows.join(keys, on, "left_semi")
+        one = free_name(rows, "one")
+        return rows.withColumn(one, F.when(blank, F.col("text"))).dropDuplicates(["doc_id", mark, one]).select(*docs.columns)
+
+    if not often.isEmpty():
+        parts.append(chosen(named.join(small_side(often), "doc_id", "left_semi").select(*docs.columns), found.where("chosen").join(small_side(often), "doc_id", "left_semi")))
+    if not found.where("doc_id is null").isEmpty():
+        nameless = docs.where("doc_id is null")
+        parts.append(chosen(nameless, found.where("chosen and doc_id is null and d1 is not null")))
+        parts.append(nameless.withColumn(mark, digest_of(F.col("text"), 5)).where(blank).select(*docs.columns))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold passages of the benchmark."""
-    return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    """Drops the rows, with or without an id, whose text holds passages of the benchmark."""
+    return clean_rows(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

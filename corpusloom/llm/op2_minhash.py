@@ -2,10 +2,10 @@
 
 1. Each text becomes a set of word shingles (64-bit hashes), a 128-bit set digest and a sketch of
    bands * rows coordinates (sketch.py), 16 bits kept of each coordinate.
-2. Texts with equal sets form one class, represented by its smallest doc_id. Only representatives
-   go on, so copies never meet in pairs.
+2. Texts with equal sets form one class with a number of its own (rep), whatever the ids of its
+   rows are. Only classes go on, so copies never meet in pairs.
 3. Bands of the sketch are bucket keys. Buckets with the same members in several bands count once.
-   In every bucket each member is checked against the bucket's smallest id on full sets.
+   In every bucket each member is checked against the bucket's smallest class on full sets.
 4. Components of these links are found. Where a bucket still holds several components, its members
    are checked against each other in blocks: every pair of different components whose sizes and
    sketches allow the similarity is confirmed on full sets. Nothing is capped: large buckets are
@@ -16,7 +16,9 @@ A pair of similarity 0.8 is missed by all 32 bands of 5 rows with probability 3e
 sketch bound of 0.64 with probability under 1e-6; a pair of 0.85 with under 1e-8.
 
 Rows: a null or blank text has an empty set and is linked with nothing; a null doc_id gets a null
-component and is kept; rows that repeat a doc_id keep their rows; other columns are ignored.
+component and is kept, but its text links others; rows that repeat a doc_id with different texts
+belong each to its own text's component, rows that repeat both are decided alike; other columns are
+ignored. Of a component the text with the smallest doc_id (then the smallest digest) is kept.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import small_side, table, written
@@ -42,6 +44,24 @@ PACK_BYTES = 8 << 20  # of sketches or sets that one group of checks holds, on a
 _HASHES = WordHashes()
 
 
+def _digest(s: np.ndarray) -> tuple[int, int]:
+    spread = s * np.uint64(0x9FB21C651E98DF25)
+    spread ^= spread >> np.uint64(32)
+    digest = (int(s.sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(spread * (s | np.uint64(1)))))
+    return tuple(x - (1 << 64) if x >> 63 else x for x in digest)
+
+
+def digest_of(text: Column, k: int) -> Column:
+    """(d1, d2) of the text's shingle set; both null for an empty set."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            sets = (shingle_set(words_of(x), k, _HASHES) for x in texts)
+            yield pd.DataFrame([_digest(s) if len(s) else (None, None) for s in sets], columns=["d1", "d2"], dtype="Int64")
+
+    return F.pandas_udf(run, "d1 long, d2 long")(text.cast("string"))
+
+
 def _sketched(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sketcher = Sketcher(BANDS, ROWS)
@@ -50,10 +70,7 @@ def _sketched(k: int):
             for doc_id, text in zip(rows["doc_id"], rows["text"]):
                 s = shingle_set(words_of(text), k, _HASHES)
                 if len(s):
-                    spread = s * np.uint64(0x9FB21C651E98DF25)
-                    spread ^= spread >> np.uint64(32)
-                    digest = (int(s.sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(spread * (s | np.uint64(1)))))
-                    d1, d2 = (x - (1 << 64) if x >> 63 else x for x in digest)
+                    d1, d2 = _digest(s)
                     out.append((doc_id, len(s), d1, d2, sketcher.sketch(s).astype("<u2").tobytes()))
                 else:
                     out.append((doc_id, 0, None, None, None))
@@ -63,10 +80,16 @@ def _sketched(k: int):
 
 
 def _sets(k: int):
+    """The sets of the rows (rep, d1, d2, text) whose text is of that digest; an id may have other texts."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            sets = [shingle_set(words_of(x), k, _HASHES).tobytes() for x in rows["text"]]
-            yield pd.DataFrame({"rep": rows["rep"], "shingles": sets})
+            out = []
+            for rep, d1, d2, text in zip(rows["rep"], rows["d1"], rows["d2"], rows["text"]):
+                s = shingle_set(words_of(text), k, _HASHES)
+                if len(s) and _digest(s) == (d1, d2):
+                    out.append((rep, s.tobytes()))
+            yield pd.DataFrame(out, columns=["rep", "shingles"]).astype({"rep": "int64"})
 
     return run
 
@@ -157,17 +180,25 @@ def _fitting_units(units: DataFrame, sketches: DataFrame, percent: int) -> DataF
     return written(fitting, "fitting")
 
 
-def _links(units: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links found among the rows of _fitting_units, on full shingle sets of their texts (rep, text)."""
-    needed = written(units.select("rep").distinct(), "needed")
-    sets = texts.join(small_side(needed), "rep", "left_semi").mapInPandas(_sets(k), "rep long, shingles binary")
+def _links(units: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links found among the rows of _fitting_units, on full shingle sets of their texts (doc_id, text)."""
+    needed = written(classes.select("rep", "doc_id", "d1", "d2").join(units.select("rep").distinct(), "rep", "left_semi"), "needed")
+    found = texts.join(small_side(needed.where("doc_id is not null")), "doc_id").select("rep", "d1", "d2", "text")
+    nameless = needed.where("doc_id is null")
+    if not nameless.isEmpty():
+        own = texts.where("doc_id is null").withColumn("d", digest_of(F.col("text"), k)).select("text", "d.d1", "d.d2")
+        found = found.union(own.join(small_side(nameless), ["d1", "d2"]).select("rep", "d1", "d2", "text"))
+    sets = found.mapInPandas(_sets(k), "rep long, shingles binary").dropDuplicates(["rep"])
     mean = 8 * (units.agg(F.avg("n")).first()[0] or 0)
     full = _packed(units, mean + 2 * BANDS * ROWS).join(sets, "rep")
     return written(full.groupBy("pack").applyInPandas(_confirmed(percent), "u long, v long"), "links")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
+def decided(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, d1, d2, component_id, chosen for every row of docs (doc_id, text).
+
+    (d1, d2) is the digest of the row's set. chosen: the row has the id and the text that its
+    component keeps; component_id is null where no row of the component has an id.
 
     Links two texts when 100 * |A & B| >= percent * |A | B| over their k-word shingle sets. percent
     is at least 80: the bands and the sketch bound are chosen for that.
@@ -178,8 +209,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     rows = written(docs.mapInPandas(_sketched(k), "doc_id long, n_shingles long, d1 long, d2 long, sketch binary"), "sketches")
 
     classes = written(
-        rows.where("d1 is not null and doc_id is not null").groupBy("d1", "d2")
-        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes",
+        rows.where("d1 is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+        .withColumn("rep", F.monotonically_increasing_id()), "classes",
     )
     width = 2 * ROWS
     keyed = classes.select("rep", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring("sketch", i * width + 1, F.lit(width)))).alias("band", "part"))
@@ -195,14 +226,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     star = members.where("rep != lo").select("lo", "rep").union(buckets.where("cnt = 2").select("lo", F.col("hi").alias("rep"))).distinct()
     star = written(star, "star")
     active = small_side(written(star.select("rep").union(star.select("lo")).distinct(), "active"))
-    sketches = written(classes.select("rep", "n", "sketch").join(active, "rep", "left_semi").groupBy("rep").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch")), "sketches")
-    texts = docs.withColumnRenamed("doc_id", "rep")
+    sketches = written(classes.select("rep", "n", "sketch").join(active, "rep", "left_semi"), "sketches")
 
     dealt = star.withColumn("unit", F.xxhash64("lo", F.pmod(F.xxhash64("rep"), F.lit(SPLITS))))
     units = dealt.select("unit", F.lit(1).alias("side"), F.lit(-1).alias("band"), "rep", F.col("rep").alias("comp")).union(
         dealt.select("unit", "lo").distinct().select("unit", F.lit(0), F.lit(-1), "lo", "lo")
     )
-    links = _links(_fitting_units(units, sketches, percent), texts, k, percent)
+    links = _links(_fitting_units(units, sketches, percent), classes, docs, k, percent)
     comps = connected_components(links)
 
     labelled = written(
@@ -215,13 +245,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("own") <= F.col("other"), 0).otherwise(1)
     units = left.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), side.alias("side"), "band", "rep", "comp")
-    more = _links(_fitting_units(units, sketches, percent), texts, k, percent)
+    more = _links(_fitting_units(units, sketches, percent), classes, docs, k, percent)
 
     comps = connected_components(links.union(more)).withColumnRenamed("node", "rep")
-    found = classes.select("d1", "d2", "rep").join(comps, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
+    found = classes.join(comps, "rep", "left").select("d1", "d2", "doc_id", F.coalesce("component", "rep").alias("comp"))
+    first = found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "d1", "d2")).alias("first"))
+    found = found.join(first, "comp").select("d1", "d2", F.col("first.doc_id").alias("component_id"), ((F.col("d1") == F.col("first.d1")) & (F.col("d2") == F.col("first.d2"))).alias("leads"))
     out = rows.join(found, ["d1", "d2"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    alone = F.col("d1").isNull()
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "n_shingles", "d1", "d2", component.alias("component_id"), (alone | (F.col("leads") & F.col("doc_id").eqNullSafe(F.col("component_id")))).alias("chosen"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text); see decided()."""
+    named = F.col("doc_id").isNotNull()
+    return decided(docs, k, percent).select("doc_id", "n_shingles", F.when(named, F.col("component_id")).alias("component_id"), (~named | F.col("chosen")).alias("kept"))
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

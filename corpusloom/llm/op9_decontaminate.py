@@ -24,10 +24,11 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_side, table, written
+from .common import table
 from .shingles import WordHashes, mix
 
 MASKS = ("11101011", "110100111")
@@ -137,16 +138,21 @@ class SeedIndex:
         return [(self.ids[i], *row) for i, row in sorted(best.items())]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """doc_id, item_id, doc_start, item_start, n_tokens, n_equal: a row for each document and item that overlap."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _blocks(benchmark: DataFrame) -> Iterator[Broadcast]:
+    """Broadcasts of (item_id, text), each of a bounded block of the benchmark."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
-    found = None
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        shared = docs.sparkSession.sparkContext.broadcast(sorted(((r["item_id"], r["text"]) for r in part), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
+        yield benchmark.sparkSession.sparkContext.broadcast(sorted(((r["item_id"], r["text"]) for r in part), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, least: int = LEAST) -> DataFrame:
+    """doc_id, item_id, doc_start, item_start, n_tokens, n_equal: a row for each document and item that overlap."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = None
+    for shared in _blocks(benchmark):
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             index = SeedIndex([i for i, _ in shared.value], [t for _, t in shared.value], window, share, least)
@@ -159,10 +165,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     return found
 
 
+def _is_clean(text: Column, shared: Broadcast, window: int, share: float, least: int) -> Column:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = SeedIndex([i for i, _ in shared.value], [t for _, t in shared.value], window, share, least)
+        for texts in batches:
+            yield pd.Series([not index.overlaps(tokens_of(t)) for t in texts], dtype=bool)
+
+    return F.pandas_udf(run, "boolean")(text.cast("string"))
+
+
+def clean_rows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, least: int = LEAST) -> DataFrame:
+    """docs without the rows whose own text has an overlap with the benchmark, whatever their id is."""
+    for shared in _blocks(benchmark):
+        docs = docs.where(_is_clean(F.col("text"), shared, window, share, least))
+    return docs
+
+
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the rows whose id has an overlap with the benchmark; rows with a null id stay."""
-    hits = written(contaminated(docs, benchmark, **options).select("doc_id").where("doc_id is not null").distinct(), "hits")
-    return docs.join(small_side(hits), "doc_id", "left_anti").select(*docs.columns)
+    """docs without the rows that overlap with the benchmark; rows with a null id stay."""
+    return clean_rows(docs.where("doc_id is not null"), benchmark, **options).unionByName(docs.where("doc_id is null"))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

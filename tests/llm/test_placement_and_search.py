@@ -185,6 +185,19 @@ def test_pipeline_against_brute_force(spark, sf):
         assert r["shard"] == shard_of[r["doc_id"]] and all(r[c] == rows[r["doc_id"]][c] for c in docs.columns)
 
 
+def test_stages_decide_rows_not_ids(spark, tmp_path):
+    """An id with several texts loses only the texts that are copies or leaks; rows without an id count too."""
+    text = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    rows = [(1, text("a")), (5, text("a") + " end"), (5, text("b")), (7, text("b") + " end"), (7, text("c")), (7, text("d")), (7, text("d")), (None, text("c")), (None, text("e")), (None, text("e")), (None, text("e") + " end"), (8, text("f"))]
+    docs = documents(spark, rows)
+    left = corpus_pipeline.near_duplicate(spark, docs, str(tmp_path)).collect()
+    got = sorted(((r["doc_id"] or 0, r["text"].removesuffix(" end")[0]) for r in left))
+    assert got == [(0, "e"), (1, "a"), (5, "b"), (7, "c"), (7, "d"), (8, "f")]
+    spark.createDataFrame([(1, text("c")[:100])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in left) == sorted((i or 0, t) for i, t in rows if t[0] != "c")
+
+
 @pytest.mark.parametrize("stage", range(5))
 def test_stages_awkward(spark, sf, stage):
     name, run = corpus_pipeline.STAGES[stage]
