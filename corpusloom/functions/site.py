@@ -43,7 +43,6 @@ KIND_TAGS = {
     "CategoryLink": "link", "Redirect": "link", "TableOfContents": "div", "Indicator": "div", "Figure": "figure", "FigCaption": "figcaption",
 }
 SITE = {"server": "https://en.wikipedia.org", "article_path": "/wiki/$1", "script_path": "/w", "language": "en", "site_name": "Wikipedia"}
-PAGE = {"page_name": "TestPage", "year": "2026", "month": "07", "day": "31"}
 
 
 def dim_namespace(spark: SparkSession) -> DataFrame:

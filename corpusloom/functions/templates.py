@@ -9,8 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .site import PAGE, SITE, VARIABLES
-from .text import attr_escape, let, replaced, trim_all
+from .braces import GROUP, MARK, guarded, held, is_argument, released, while_open
+from .site import SITE, VARIABLES
+from .text import attr_escape, let, replaced, spliced, trim_all
 
 ERROR = '<strong class="error">Expression error: {}</strong>'
 
@@ -55,17 +56,32 @@ def magic_pipe(text: Column) -> Column:
     return F.replace(text, F.lit("{{!}}"), F.lit("|"))
 
 
-def substitute_args(body: Column, args: Column, rounds: int = 3) -> Column:
-    """Replaces {{{name|default}}} from the innermost outwards, ``rounds`` levels deep; then {{!}}."""
-    def put(text: Column, ref: Column) -> Column:
-        return let(arg_reference(F.substring(ref, F.lit(4), F.char_length(ref) - 6)), lambda r: F.replace(text, ref, resolve_arg(F.try_element_at(args, r["name"]), r["dflt"])))
+#: A bar that separates nothing; braces of a template's own text, which are read again later.
+BAR, _OPEN, _CLOSE = (MARK + digit for digit in "789")
 
-    def one_level(text: Column) -> Column:
-        return F.aggregate(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\{\{\{[^{}]*\}\}\}"), F.lit(0))), text, put)
 
-    for _ in range(rounds):
-        body = let(body, one_level)
-    return magic_pipe(body)
+def with_args(body: Column, args: Column) -> Column:
+    """A held body with every {{{name|default}}} answered from args, whose names and values are held.
+
+    Groups are settled from the innermost outwards until none is left, so arguments may stand in
+    defaults and names of others, and calls in defaults, at any depth.
+    """
+
+    def value(group: Column) -> Column:
+        inner = F.substring(group, F.lit(4), F.char_length(group) - 6)
+        return let(arg_reference(inner), lambda r: resolve_arg(F.try_element_at(args, r["name"]), r["dflt"]))
+
+    def put(group: Column) -> Column:
+        return F.when(is_argument(group), value(group)).otherwise(replaced(group, ("{", _OPEN), ("}", _CLOSE)))
+
+    settled = while_open(body, lambda t: t.rlike(GROUP), lambda t: spliced(t, GROUP, put))
+    return replaced(settled, (_OPEN, "{"), (_CLOSE, "}"))
+
+
+def substitute_args(body: Column, args: Column) -> Column:
+    """Replaces every {{{name|default}}}, however deep, then {{!}}; what a value brings is not read again."""
+    names, values = F.transform(F.map_keys(args), guarded), F.transform(F.map_values(args), lambda v: held(guarded(v)))
+    return magic_pipe(released(let(F.map_from_arrays(names, values), lambda own: with_args(guarded(body), own))))
 
 
 def without_noinclude(text: Column) -> Column:
@@ -194,18 +210,26 @@ def pf_expr(text: Column) -> Column:
     return F.when(x.isNull() | F.isnan(x), "").when(x == float("inf"), ERROR.format("Division by zero")).otherwise(format_result(x))
 
 
-def variable(name: Column, page: dict[str, str] | None = None, site: dict[str, str] | None = None) -> Column:
-    """The value of a page variable; other known names come back in braces, unknown ones as null."""
-    page, site, upper = PAGE | (page or {}), SITE | (site or {}), F.upper(name)
-    values = {"PAGENAME": page["page_name"], "FULLPAGENAME": page["page_name"], "SITENAME": site["site_name"], "SERVER": site["server"], "SERVERNAME": site["server"], "CURRENTYEAR": page["year"], "CURRENTMONTH": page["month"], "CURRENTDAY": page["day"], "CURRENTDAY2": page["day"]}
-    out = F.when(upper.isin(VARIABLES), F.concat(F.lit("{{"), name, F.lit("}}")))
+def variable(name: Column, page: dict[str, str] | None = None, site: dict[str, str] | None = None, now: Column | None = None) -> Column:
+    """The value of a page variable; other known names come back in braces, unknown ones as null.
+
+    page gives page_name; dates are those of now, by default the time at which the query runs.
+    """
+    page, site, upper = {"page_name": "TestPage"} | (page or {}), SITE | (site or {}), F.upper(name)
+    now = F.current_timestamp() if now is None else now
+    values = {
+        "PAGENAME": F.lit(page["page_name"]), "FULLPAGENAME": F.lit(page["page_name"]), "SITENAME": F.lit(site["site_name"]),
+        "SERVER": F.lit(site["server"]), "SERVERNAME": F.lit(site["server"]), "CURRENTYEAR": F.date_format(now, "yyyy"),
+        "CURRENTMONTH": F.date_format(now, "MM"), "CURRENTDAY": F.date_format(now, "d"), "CURRENTDAY2": F.date_format(now, "dd"),
+    }
+    out = F.when(upper.isin(list(VARIABLES)), F.concat(F.lit("{{"), name, F.lit("}}")))
     for key, value in values.items():
         out = F.when(upper == key, value).otherwise(out)
     return out
 
 
 def is_variable(name: Column) -> Column:
-    return F.upper(name).isin(VARIABLES)
+    return F.upper(name).isin(list(VARIABLES))
 
 
 # ---------------------------------------------------------------- JSON envelopes

@@ -20,6 +20,14 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
+def spliced(text: Column, pattern: str, put) -> Column:
+    """Every match of the pattern replaced by put(match), place by place: what is put in is not read again."""
+    found = lambda t: F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+    joined = lambda t: F.array_join(F.zip_with(F.split(t, pattern, -1), found(t), one), "")
+    one = lambda part, m: F.concat(part, F.when(m.isNull(), "").otherwise(put(m)))
+    return let(text, lambda t: F.when(t.rlike(pattern), joined(t)).otherwise(t))
+
+
 def html_escape(text: Column) -> Column:
     return replaced(text, ("&", "&amp;"), ("<", "&lt;"))
 
@@ -164,15 +172,28 @@ def strip_transclusion_spans(page: Column) -> Column:
 
 
 def normalize_paragraphs(page: Column) -> Column:
+    """No line ends before </p> and between paragraphs, no empty <b> and <i>, however deep they are nested."""
     page = F.regexp_replace(page, r"\n+</p>", "</p>")
     page = F.regexp_replace(page, r"</p>\n+<p>", "</p><p>")
-    return F.regexp_replace(F.regexp_replace(page, r"<b></b>|<i></i>", ""), r"<b></b>|<i></i>", "")
+    empty = r"<b></b>|<i></i>"
+    state = lambda t: let(t, lambda x: F.struct(x.alias("x"), x.rlike(empty).alias("more")))
+    turns = F.sequence(F.lit(1), F.regexp_count(page, F.lit("</[bi]>")) + 1)
+    return F.aggregate(turns, state(page), lambda s, _: F.when(s["more"], state(F.regexp_replace(s["x"], empty, ""))).otherwise(s), lambda s: s["x"])
 
 
 def difference_hint(a: Column, b: Column, around: int = 10) -> Column:
-    """Where two texts part: the place and the characters around it; null for equal texts."""
+    """Where two texts part: the place and the characters around it; null for equal texts.
+
+    The place is found by halving, so the work grows with the length times its logarithm at most.
+    """
     n = F.least(F.char_length(a), F.char_length(b))
-    same = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1)))
-    at = F.coalesce(F.get(same, 0), n + 1)
+
+    def halve(s: Column, _: Column) -> Column:  # the first ``same`` characters agree; beyond ``most`` they cannot
+        middle = F.floor((s["same"] + s["most"] + 1) / 2).cast("int")
+        agree = F.substring(a, s["same"] + 1, middle - s["same"]) == F.substring(b, s["same"] + 1, middle - s["same"])
+        return F.struct(F.when(agree, middle).otherwise(s["same"]).alias("same"), F.when(agree, s["most"]).otherwise(middle - 1).alias("most"))
+
+    turns = F.sequence(F.lit(1), F.ceil(F.log2(n + 2)).cast("int") + 1)
+    at = F.aggregate(turns, F.struct(F.lit(0).alias("same"), n.alias("most")), halve, lambda s: s["same"] + 1)
     part = lambda t: F.substring(t, F.greatest(at - around, F.lit(1)), F.lit(2 * around))
     return F.when(a != b, F.concat(F.lit("at "), at.cast("string"), F.lit(": "), part(a), F.lit(" / "), part(b)))

@@ -10,21 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.braces import BEGIN, END, MARK, OWN, calls_held, guarded, released
 from ..functions.site import PARAGRAPH_BREAKING_TAGS
-from ..functions.text import comment_escape, html_document, let
+from ..functions.text import comment_escape, html_document, let, replaced, spliced
 from ..functions.titles import extlink_html, wikilink_html
+from .rows import ROW, by_row, names_of, numbered
 from .tokens import inline_quotes
 
 _BLOCK_LINE = r"(?i)^\s*</?(?:" + "|".join(PARAGRAPH_BREAKING_TAGS) + r")\b"
-#: Stand for quotes and brackets that are to be read as they are.
-_HELD = "\ue000\ue001\ue002"
-_TAG = r"</?[A-Za-z][A-Za-z0-9-]*(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>"
-
-
-def _folded(text: Column, pattern: str, put) -> Column:
-    """Replaces every match of the pattern by put(match)."""
-    found = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)))
-    return let(text, lambda t: F.when(t.rlike(pattern), F.aggregate(found(t), t, lambda x, m: F.replace(x, m, put(m)))).otherwise(t))
+#: Signs that are to be read as they are, and what stands for them between the steps.
+_SIGNS = tuple((sign, f"{MARK}{n}") for n, sign in enumerate("'[]", 1))
+_TAG = r"</?[A-Za-z][A-Za-z0-9-]*+(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
 
 
 def _text_escaped(line: Column) -> Column:
@@ -34,11 +30,11 @@ def _text_escaped(line: Column) -> Column:
 
 def inline_html(line: Column) -> Column:
     """Links, quotes, nowiki, comments and escapes of one line."""
-    line = _text_escaped(line)
-    literal = lambda m: F.translate(F.replace(F.regexp_replace(m, "^<nowiki>|</nowiki>$", ""), F.lit("<"), F.lit("&lt;")), "'[]", _HELD)
-    line = _folded(line, r"(?s)<nowiki>.*?</nowiki>", literal)
+    line = _text_escaped(guarded(line))
+    literal = lambda m: replaced(F.regexp_replace(m, "^<nowiki>|</nowiki>$", ""), ("<", "&lt;"), *_SIGNS)
+    line = spliced(line, r"(?s)<nowiki>.*?</nowiki>", literal)
     line = F.regexp_replace(line, r"<nowiki\s*/>", "")
-    line = _folded(line, r"(?s)<!--.*?-->", lambda m: F.concat(F.lit("<!--"), comment_escape(F.regexp_replace(F.replace(m, F.lit("&amp;"), F.lit("&")), "^<!--|-->$", "")), F.lit("-->")))
+    line = spliced(line, r"(?s)<!--.*?-->", lambda m: F.concat(F.lit("<!--"), comment_escape(F.regexp_replace(F.replace(m, F.lit("&amp;"), F.lit("&")), "^<!--|-->$", "")), F.lit("-->")))
 
     def wiki(m: Column) -> Column:
         return let(F.regexp_replace(m, r"^\[\[|\]\]$", ""), _wiki_html)
@@ -56,17 +52,19 @@ def inline_html(line: Column) -> Column:
         url = F.when(cut > 0, F.substring(inner, F.lit(1), cut - 1)).otherwise(inner)
         return extlink_html(url, F.when(cut > 0, F.replace(F.substring(inner, cut + 1, F.char_length(inner)), F.lit("&amp;"), F.lit("&"))))
 
-    line = _folded(line, r"\[\[[^\[\]\n]+\]\]", wiki)
-    line = _folded(line, r"\[(?:https?://|ftp://|mailto:|//)[^\]\n]*\]", external)
+    line = spliced(line, r"\[\[[^\[\]\n]+\]\]", wiki)
+    line = spliced(line, r"\[(?:https?://|ftp://|mailto:|//)[^\]\n]*\]", external)
+    line = F.regexp_replace(line, r"__([A-Za-z]+)__", "[__$1__]")
     line = F.regexp_replace(let(line, inline_quotes), r"(?i)<br\s*/?>", "<br/>")
-    return F.translate(line, _HELD, "'[]")
+    return F.when(F.contains(line, F.lit(MARK)), replaced(line, *((held, sign) for sign, held in _SIGNS), (OWN, MARK))).otherwise(line)
 
 
 def markup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, line, s, kind, level: the lines of each page and what they are."""
-    rows = docs.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n", -1)).alias("line", "s"))
+    """loom_row, key, line, s, kind, level: the lines of each input row and what they are."""
+    rows = numbered(docs, key, F.coalesce(text, F.lit("")).alias("s"))
+    rows = rows.select(*by_row(key), F.posexplode(F.split("s", "\n", -1)).alias("line", "s"))
     s = F.col("s")
-    w = Window.partitionBy(key).orderBy("line")
+    w = Window.partitionBy(ROW).orderBy("line")
     opened = F.sum(F.when(s.rlike(r"(?i)^\s*<pre\b"), 1).otherwise(0) - F.when(s.rlike(r"(?i)</pre\s*>"), 1).otherwise(0)).over(w)
     in_pre = (opened > 0) | s.rlike(r"(?i)</pre\s*>")
     table = F.sum(F.when(s.startswith("{|"), 1).otherwise(0)).over(w) > F.sum(F.when(s.startswith("|}"), 1).otherwise(0)).over(w)
@@ -80,9 +78,9 @@ def markup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return rows.withColumn("level", F.when(F.col("kind") == "heading", F.char_length(F.regexp_extract("s", "^(=+)", 1))).when(F.col("kind").isin("ol", "ul", "dl"), F.char_length(F.regexp_extract("s", r"^([*#;:]+)", 1))))
 
 
-def _islands(rows: DataFrame, key: str) -> DataFrame:
+def _islands(rows: DataFrame) -> DataFrame:
     """Adds block: headings, rules, comments and HTML lines stand alone, other neighbours of one kind join."""
-    w = Window.partitionBy(key).orderBy("line")
+    w = Window.partitionBy(ROW).orderBy("line")
     fresh = F.col("kind").isin("heading", "rule", "comment", "html") | (F.col("kind") == "table") & F.col("s").startswith("{|")
     new = F.coalesce(fresh | (F.col("kind") != F.lag("kind").over(w)), F.lit(True)).cast("int")
     return rows.withColumn("new", new).withColumn("block", F.sum("new").over(w)).drop("new")
@@ -121,14 +119,28 @@ def _block_html(kind: Column, lines: Column) -> Column:
     )
 
 
-def wt2html(docs: DataFrame, key: str = "doc_id", text: str = "text", body_only: bool = True, language: str = "en") -> DataFrame:
-    """key, html: each page's markup as HTML; every page gets a row, an empty one an empty body."""
-    rows = _rendered(_islands(markup_lines(docs, key, text), key))
-    blocks = rows.groupBy(key, "block").agg(F.first("kind").alias("kind"), F.array_sort(F.collect_list(F.struct("line", "out"))).alias("lines"))
-    blocks = blocks.select(key, "block", _block_html(F.col("kind"), F.transform("lines", lambda x: x["out"])).alias("html"))
-    pages = blocks.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("html").isNotNull(), F.struct("block", "html")))).alias("b"))
+def without_calls(text: Column) -> Column:
+    """The text without its templates, functions and arguments, which mean nothing before they are expanded."""
+    return released(F.regexp_replace(calls_held(text), rf"(?s){BEGIN}.*?{END}", ""))
+
+
+def wt2html(docs: DataFrame, key: str = "doc_id", text: str = "text", body_only: bool = True, language: str = "en", unexpanded: str = "keep") -> DataFrame:
+    """key, html: each row's markup as HTML; an empty text gives an empty body.
+
+    unexpanded: ``drop`` leaves calls out that nobody has expanded, ``keep`` shows them as text.
+
+    Rows: every input row gives one row, whether its key is null or repeated; a null text is empty;
+    other columns are left out.
+    """
+    names = names_of(docs, key)
+    if unexpanded == "drop":
+        docs = numbered(docs, key, without_calls(F.col(text)).alias(text))
+    rows = _rendered(_islands(markup_lines(docs, key, text)))
+    blocks = rows.groupBy(*by_row(key), "block").agg(F.first("kind").alias("kind"), F.array_sort(F.collect_list(F.struct("line", "out"))).alias("lines"))
+    blocks = blocks.select(*by_row(key), "block", _block_html(F.col("kind"), F.transform("lines", lambda x: x["out"])).alias("html"))
+    pages = blocks.groupBy(*by_row(key)).agg(F.array_sort(F.collect_list(F.when(F.col("html").isNotNull(), F.struct("block", "html")))).alias("b"))
     body = F.array_join(F.transform("b", lambda x: x["html"]), "\n")
-    return pages.select(key, html_document(body, F.lit(language), body_only).alias("html"))
+    return pages.select(*names, html_document(body, F.lit(language), body_only).alias("html"))
 
 
 def headings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

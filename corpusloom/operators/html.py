@@ -1,21 +1,27 @@
-"""HTML pages as rows: tags, comments, links, nodes, and wiki markup from HTML."""
+"""HTML pages as rows: tags, comments, links, nodes; and nodes as wiki markup or HTML again."""
 
 from __future__ import annotations
 
+import html as entities
 from collections.abc import Iterator
 from itertools import chain
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.site import KIND_TAGS, TAG_KINDS
-from ..functions.text import body_of, get_attr, replaced, trim_all
+from ..functions.braces import MARK, guarded
+from ..functions.site import BLOCK_TAGS, KIND_TAGS, TAG_KINDS
+from ..functions.templates import extension_markup, template_markup
+from ..functions.text import body_of, comment_escape, get_attr, html_escape, node_attributes, replaced, text_decode, trim_all
+from .rows import ROW, by_row, names_of, numbered
 from .tokens import parse_attributes
 
-_ATTRS = r"(?:[^<>\"']|\"[^\"]*\"|'[^']*')*"
-PIECE = rf"(?s)<!--.*?-->|<(?i:script|style|title|textarea)\b{_ATTRS}>.*?</(?i:script|style|title|textarea)\s*>|</?[A-Za-z]{_ATTRS}>|<![^>]*>|[^<]+|<"
+# Loops are possessive, so that they need no stack however long a tag is.
+_ATTRS = r"(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+"
+_RAW = "script|style|title|textarea"
+PIECE = rf"(?s)<!--.*?-->|<(?i:{_RAW})\b{_ATTRS}>.*?</(?i:{_RAW})\s*>|</?[A-Za-z]{_ATTRS}>|<![^>]*>|[^<]+|<"
 VOID = "area base br col embed hr img input link meta source track wbr".split()
 
 
@@ -23,17 +29,31 @@ def _pieces(page: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(page, F.lit("")), F.lit(PIECE), F.lit(0))
 
 
+def _tag_of(piece: Column) -> Column:
+    return F.lower(F.regexp_extract(piece, r"^</?([A-Za-z][^\s/>]*)", 1))
+
+
+def _attributes_of(piece: Column) -> Column:
+    return parse_attributes(F.regexp_extract(piece, rf"(?s)^(<[A-Za-z]{_ATTRS}>)", 1))
+
+
 def element_kind(tag: Column, attrs: Column) -> Column:
     """The kind of an element: typeof first, then rel, then href rules for a, then the tag."""
     types = F.split(F.coalesce(get_attr(attrs, "typeof"), F.lit("")), r"\s+")
     rel = get_attr(attrs, "rel")
     plain = F.try_element_at(F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in TAG_KINDS.items())), tag)
     return (
-        F.when(F.array_contains(types, "mw:Transclusion"), "Transclusion").when(F.exists(types, lambda t: t.startswith("mw:Extension/")), "ExtensionTag")
-        .when(F.exists(types, lambda t: t.startswith("mw:Annotation/")), "Annotation").when(rel == "mw:PageProp/Category", "CategoryLink")
-        .when(rel == "mw:WikiLink/Interwiki", "Wikilink").when((tag == "a") & (rel == "mw:ExtLink"), "ExtLink")
-        .when((tag == "a") & get_attr(attrs, "href").isNotNull(), "Wikilink").when(tag == "a", "Span").when(tag.rlike("^h[1-6]$"), "Heading").otherwise(F.coalesce(plain, F.lit("Other")))
-    )
+        F.when(F.array_contains(types, "mw:Transclusion"), "Transclusion")
+        .when(F.exists(types, lambda t: t.startswith("mw:Extension/")), "ExtensionTag")
+        .when(F.exists(types, lambda t: t.startswith("mw:Annotation/")), "Annotation")
+        .when(rel == "mw:PageProp/Category", "CategoryLink")
+        .when(rel == "mw:WikiLink/Interwiki", "Wikilink")
+        .when((tag == "a") & (rel == "mw:ExtLink"), "ExtLink")
+        .when((tag == "a") & get_attr(attrs, "href").isNotNull(), "Wikilink")
+        .when(tag == "a", "Span")
+        .when(tag.rlike("^h[1-6]$"), "Heading")
+        .otherwise(F.coalesce(plain, F.lit("Other")))
+    )
 
 
 def kind_tag(kind: Column, level: Column, tag: Column) -> Column:
@@ -45,9 +65,10 @@ def kind_tag(kind: Column, level: Column, tag: Column) -> Column:
 def html_tags(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """key, ord, tag, closing, attrs, elem_kind, level: a row for each tag outside comments and raw text."""
     rows = pages.select(key, F.posexplode(_pieces(F.col(html))).alias("ord", "piece")).where(F.col("piece").rlike("^</?[A-Za-z]"))
-    rows = rows.select(key, "ord", F.lower(F.regexp_extract("piece", r"^</?([A-Za-z][^\s/>]*)", 1)).alias("tag"), F.col("piece").startswith("</").alias("closing"), F.regexp_extract("piece", rf"(?s)^(<[^>]*?{_ATTRS}>)", 1).alias("piece"))
-    rows = rows.withColumn("attrs", F.when(~F.col("closing"), parse_attributes(F.col("piece")))).drop("piece")
-    return rows.withColumn("elem_kind", element_kind(F.col("tag"), F.col("attrs"))).withColumn("level", F.when(F.col("elem_kind") == "Heading", F.substring("tag", 2, 1).cast("int")))
+    closing = F.col("piece").startswith("</")
+    rows = rows.select(key, "ord", _tag_of(F.col("piece")).alias("tag"), closing.alias("closing"), F.when(~closing, _attributes_of(F.col("piece"))).alias("attrs"))
+    rows = rows.withColumn("elem_kind", element_kind(F.col("tag"), F.col("attrs")))
+    return rows.withColumn("level", F.when(F.col("elem_kind") == "Heading", F.substring("tag", 2, 1).cast("int")))
 
 
 def html_comments(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
@@ -55,86 +76,290 @@ def html_comments(pages: DataFrame, key: str = "page_id", html: str = "html") ->
 
 
 def html_links(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """key, ord, href: links in page order, numbered from 0."""
-    links = html_tags(pages, key, html).where("tag = 'a' and not closing").select(key, "ord", get_attr(F.col("attrs"), "href").alias("href")).where("href is not null")
-    return links.withColumn("ord", F.row_number().over(Window.partitionBy(key).orderBy("ord")) - 1)
+    """key, ord, href: links in page order, numbered from 0. Found and numbered within the row: no shuffle."""
+    links = F.filter(_pieces(F.col(html)), lambda p: p.rlike(r"^<[aA][\s/>]"))
+    hrefs = F.filter(F.transform(links, lambda p: get_attr(_attributes_of(p), "href")), lambda h: h.isNotNull())
+    return pages.select(key, F.posexplode(hrefs).alias("ord", "href"))
 
 
 def html_title(page: Column) -> Column:
     return trim_all(F.regexp_extract(page, r"(?is)<title[^>]*>(.*?)</title>", 1))
 
 
-_PLACE = T.ArrayType(T.StructType([T.StructField("parent", T.IntegerType()), T.StructField("ord", T.IntegerType()), T.StructField("depth", T.IntegerType()), T.StructField("path", T.StringType())]))
+# ---------------------------------------------------------------- nodes
+
+_PLACE = T.ArrayType(
+    T.StructType(
+        [T.StructField(n, T.IntegerType()) for n in ("parent", "ord", "depth", "until")]
+        + [T.StructField(n, T.StringType()) for n in ("path", "above", "text")]
+    )
+)
+
+
+#: Open elements that the start of an element ends, and the elements beyond which it does not look.
+_CELLS, _LISTS = ("td", "th"), ("ul", "ol", "dl", "table")
+_ENDS = {
+    "li": (("li",), _LISTS), "dt": (("dt", "dd"), _LISTS), "dd": (("dt", "dd"), _LISTS), "option": (("option",), ("select",)),
+    "td": (_CELLS, ("table",)), "th": (_CELLS, ("table",)), "tr": (("tr", *_CELLS), ("table",)),
+}
+
+
+def _place(steps) -> list[dict | None]:
+    """The places of one page's steps: '+tag mark' opens, '-tag' closes, '.text' and '!tag mark' are leaves."""
+    out, open_nodes, children = [], [(-1, "", "", "")], {-1: 0}
+    open_tags: dict[str, int] = {}
+
+    def close() -> str:
+        node, tag, _, _ = open_nodes.pop()
+        open_tags[tag] -= 1
+        out[node]["until"] = len(out)
+        return tag
+
+    for step in steps if steps is not None else ():
+        sign, (tag, _, mark) = step[0], ("", "", "") if step[0] == "." else step[1:].partition(" ")
+        if sign == "-":
+            while open_tags.get(tag) and close() != tag:
+                pass
+            out.append(None)
+            continue
+        if sign == "+" and tag in BLOCK_TAGS and open_nodes[-1][1] == "p":
+            close()
+        ended, scope = _ENDS.get(tag, ((), ()))
+        if any(open_tags.get(name) for name in ended):
+            last, at = 0, len(open_nodes) - 1
+            while at and open_nodes[at][1] not in scope:
+                last, at = at if open_nodes[at][1] in ended else last, at - 1
+            while last and len(open_nodes) > last:
+                close()
+        parent, _, path, above = open_nodes[-1]
+        nth = children.get(parent, 0)
+        children[parent] = nth + 1
+        own = f"{path}/{nth:05d}"
+        text = entities.unescape(step[1:]) if sign == "." and len(step) > 1 else None
+        out.append({"parent": parent, "ord": nth, "depth": len(open_nodes), "until": len(out), "path": own, "above": above, "text": text})
+        if sign == "+":
+            open_nodes.append((len(out) - 1, tag, own, above + mark))
+            open_tags[tag] = open_tags.get(tag, 0) + 1
+    while len(open_nodes) > 1:
+        close()
+    return out
 
 
 @F.pandas_udf(_PLACE)
 def _placed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """For steps '+tag' (open), '-tag' (close) and '.' (leaf): parent, place and path of each opened or leaf node."""
-
-    def place(steps) -> list[dict]:
-        out, open_nodes, children = [], [(-1, "", "")], {-1: 0}
-        for step in steps if steps is not None else ():
-            sign, tag = step[0], step[1:]
-            if sign == "-":
-                at = next((i for i in range(len(open_nodes) - 1, 0, -1) if open_nodes[i][1] == tag), 0)
-                del open_nodes[at or len(open_nodes) :]
-                out.append(None)
-                continue
-            if sign == "+" and tag in ("p", "li", "tr", "td", "th") and open_nodes[-1][1] == tag:
-                open_nodes.pop()
-            parent, _, path = open_nodes[-1]
-            nth = children.get(parent, 0)
-            children[parent] = nth + 1
-            own = f"{path}/{nth:05d}"
-            out.append({"parent": parent, "ord": nth, "depth": len(open_nodes), "path": own})
-            if sign == "+":
-                open_nodes.append((len(out) - 1, tag, own))
-        return out
-
     for rows in batches:
-        yield rows.map(place)
+        yield rows.map(_place)
+
+
+#: How a kind bears on the markup of what lies below it.
+_MARKS = {"UnorderedList": "u", "OrderedList": "o", "ListItem": "i", "Wikilink": "a", "ExtLink": "a", "ExtensionTag": "x", "Table": "t", "TableRow": "t", "Preformatted": "p"}
+
+
+def _mark(kind: Column, data_mw: Column) -> Column:
+    plain = F.try_element_at(F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in _MARKS.items())), kind)
+    return F.when((kind == "Transclusion") & (F.coalesce(template_markup(data_mw), F.lit("")) != ""), "x").otherwise(F.coalesce(plain, F.lit("-")))
+
+
+def _described(piece: Column) -> Column:
+    """What a piece of a page is, without its place."""
+    is_element, is_comment = piece.rlike("^<[A-Za-z]"), piece.startswith("<!--")
+    every = F.when(is_element, F.transform(_attributes_of(piece), lambda a: F.struct(a["k"].alias("k"), text_decode(a["v"]).alias("v"))))
+    return F.struct(
+        F.when(is_comment, "Comment").when(is_element, "Element").otherwise("Text").alias("node_kind"), F.when(is_element, _tag_of(piece)).alias("tag"),
+        F.when(is_comment, F.regexp_replace(piece, "(?s)^<!--|-->$", "")).when(~is_element, piece).alias("text"), every.alias("every"),
+        piece.startswith("</").alias("closes"), (piece.endswith("/>") | piece.rlike(rf"(?i)^<(?:{_RAW})\b")).alias("leaf"),
+    )
+
+
+def _step(n: Column) -> Column:
+    kind = element_kind(n["tag"], n["every"])
+    opened = F.concat(F.when(n["leaf"] | n["tag"].isin(VOID), "!").otherwise("+"), n["tag"], F.lit(" "), _mark(kind, get_attr(n["every"], "data-mw")))
+    text = F.when((n["node_kind"] == "Text") & F.contains(n["text"], F.lit("&")), n["text"]).otherwise("")
+    return F.when(n["closes"], F.concat(F.lit("-"), _tag_of(n["text"]))).when(n["node_kind"] == "Element", opened).otherwise(F.concat(F.lit("."), text))
+
+
+def _found(page: Column) -> Column:
+    pieces = F.filter(_pieces(body_of(page)), lambda p: ~p.rlike(r"^<[!?](?!--)"))
+    return F.transform(pieces, _described)
+
+
+def _node(n: Column, p: Column, i: Column) -> Column:
+    every, kind = n["every"], F.when(n["node_kind"] == "Element", element_kind(n["tag"], n["every"]))
+    return F.struct(
+        i.alias("node_id"), p["parent"].alias("parent_id"), p["ord"].alias("ord"), p["depth"].alias("depth"), p["path"].alias("path"), p["until"].alias("until"),
+        n["node_kind"].alias("node_kind"), kind.alias("elem_kind"), F.when(kind == "Heading", F.substring(n["tag"], 2, 1).cast("int")).alias("level"),
+        n["tag"].alias("tag"), F.coalesce(p["text"], n["text"]).alias("text"), F.filter(every, lambda a: ~a["k"].isin("data-parsoid", "data-mw")).alias("attrs"),
+        get_attr(every, "data-parsoid").alias("data_parsoid"), get_attr(every, "data-mw").alias("data_mw"), p["above"].alias("above"), n["leaf"].alias("leaf"),
+    )
+
+
+def with_nodes(pages: DataFrame, page: Column, name: str) -> DataFrame:
+    """pages with one more column: an array of the nodes of page, in page order."""
+    found, places = f"{name}_found", f"{name}_places"
+    pages = pages.withColumn(found, _found(page)).withColumn(places, _placed(F.transform(found, _step)))
+    both = F.transform(F.arrays_zip(F.col(found).alias("n"), F.col(places).alias("p")), lambda x, i: F.struct(x["n"].alias("n"), x["p"].alias("p"), i.alias("i")))
+    nodes = F.transform(F.filter(both, lambda x: x["p"].isNotNull()), lambda x: _node(x["n"], x["p"], x["i"]))
+    return pages.withColumn(name, nodes).drop(found, places)
 
 
 def html_nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """key, node_id, parent_id, ord, depth, path, node_kind, elem_kind, level, tag, text, attrs, data_parsoid, data_mw.
+    """loom_row, key, node_id, parent_id, ord, depth, path, node_kind, elem_kind, level, tag, text, attrs,
+    data_parsoid, data_mw, above, until: the nodes of each page's body in pre-order.
+
+    Recognising and describing nodes is native; only the nesting of tag names and the references in
+    texts pass through a small helper. Nothing shuffles. above has a sign for each element around
+    the node: u and o lists, i item, a link, t table or row, p preformatted, x rebuilt from data-mw, - other. until
+    is the number of the piece of the page at which the node ends.
+
+    Rows: pages that share a key, or have none, have numbers of their own; null and empty pages have
+    no nodes; other columns are left out.
+    """
+    rows = with_nodes(numbered(pages, key, F.col(html).alias("html")), F.col("html"), "nodes")
+    return rows.select(*by_row(key), F.explode("nodes").alias("n")).select(*by_row(key), "n.*")
+
 
-    Pre-order rows of the body's tree. Recognising and describing nodes is native; only the nesting
-    of tag names passes through a small helper.
+def wt_nodes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The node table of wiki markup: what html_nodes gives for the page that wt2html makes of each row.
+
+    Calls that nobody has expanded are left out; other rules are those of the two operators.
     """
-    held = pages.select(key, F.filter(_pieces(body_of(F.col(html))), lambda p: ~p.rlike(r"^<[!?](?!--)")).alias("piece"))
-    name = lambda p: F.lower(F.regexp_extract(p, r"^</?([A-Za-z][^\s/>]*)", 1))
-    raw = lambda p: p.rlike(r"(?i)^<(script|style|title|textarea)\b")
-    step = lambda p: F.when(p.startswith("</"), F.concat(F.lit("-"), name(p))).when(p.rlike("^<[A-Za-z]") & ~raw(p) & ~name(p).isin(VOID) & ~p.endswith("/>"), F.concat(F.lit("+"), name(p))).otherwise(".")
-    held = held.withColumn("place", _placed(F.transform("piece", step)))
-    rows = held.select(key, F.posexplode(F.arrays_zip("piece", "place")).alias("node_id", "n")).where("n.place is not null").select(key, "node_id", F.col("n.place.parent").alias("parent_id"), "n.place.ord", "n.place.depth", "n.place.path", "n.piece")
-    piece = F.col("piece")
-    rows = rows.withColumn("node_kind", F.when(piece.startswith("<!--"), "Comment").when(piece.rlike("^<[A-Za-z]"), "Element").otherwise("Text"))
-    element = F.col("node_kind") == "Element"
-    rows = rows.withColumn("tag", F.when(element, name(piece))).withColumn("every", F.when(element, parse_attributes(F.regexp_extract(piece, rf"(?s)^(<[A-Za-z]{_ATTRS}>)", 1))))
-    rows = rows.withColumn("elem_kind", F.when(element, element_kind(F.col("tag"), F.col("every"))))
-    text = F.when(F.col("node_kind") == "Text", replaced(piece, ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))).when(F.col("node_kind") == "Comment", F.regexp_replace(piece, "(?s)^<!--|-->$", ""))
-    return rows.select(
-        key, "node_id", "parent_id", "ord", "depth", "path", "node_kind", "elem_kind", F.when(F.col("elem_kind") == "Heading", F.substring("tag", 2, 1).cast("int")).alias("level"), "tag", text.alias("text"),
-        F.filter("every", lambda a: ~a["k"].isin("data-parsoid", "data-mw")).alias("attrs"), get_attr(F.col("every"), "data-parsoid").alias("data_parsoid"), get_attr(F.col("every"), "data-mw").alias("data_mw"),
+    from .blocks import wt2html
+
+    return html_nodes(wt2html(numbered(docs, key, text), key, text, unexpanded="drop"), key, "html")
+
+
+# ---------------------------------------------------------------- nodes to text
+
+#: Begin of a wiki link and of an external link, end of the target, end of the link.
+_WIKI, _EXT, _SHOWN, _DONE = (MARK + digit for digit in "1234")
+
+
+def _pair(before: str | Column, after: str | Column = "") -> Column:
+    return F.struct(*((F.lit(x) if isinstance(x, str) else x).alias(n) for n, x in (("before", before), ("after", after))))
+
+
+def _tagged(tag: Column, attrs: str | Column = "", after: str = "") -> Column:
+    return _pair(F.concat(F.lit("<"), tag, F.lit(attrs) if isinstance(attrs, str) else attrs, F.lit(">")), F.concat(F.lit("</"), tag, F.lit(">" + after)))
+
+
+def _markup_of(n: Column) -> Column:
+    """(before, after): the markup before and after what lies below a node."""
+    kind, tag, above, is_text = n["elem_kind"], n["tag"], n["above"], n["node_kind"] == "Text"
+    own = lambda name: guarded(F.coalesce(get_attr(n["attrs"], name), F.lit("")))
+    attr = lambda a: F.concat(F.lit(" "), a["k"], F.when(a["v"] == "", "").otherwise(F.concat(F.lit('="'), a["v"], F.lit('"'))))
+    listed = guarded(F.array_join(F.transform(n["attrs"], attr), ""))
+    depth, in_list = F.regexp_count(above, F.lit("[uo]")), above.rlike("[uo]$")
+    bullet = F.concat(F.when(depth > 1, "\n").otherwise(""), F.repeat(F.when(above.endswith("o"), "#").otherwise("*"), depth), F.lit(" "))
+    equals = F.repeat(F.lit("="), n["level"])
+    drops_tag = tag.isin("tbody", "thead", "tfoot", *_RAW.split("|"))
+    out = (
+        F.when(is_text, _pair(guarded(n["text"]))).when(n["node_kind"] == "Comment", _pair(F.concat(F.lit("<!--"), guarded(n["text"]), F.lit("-->"))))
+        .when(kind == "Paragraph", _pair("", "\n")).when(kind == "Heading", _pair(equals, F.concat(equals, F.lit("\n"))))
+        .when(kind == "Bold", _pair("'''", "'''")).when(kind == "Italic", _pair("''", "''"))
+        .when(kind == "Wikilink", _pair(F.concat(F.lit(_WIKI), own("href"), F.lit(_SHOWN)), _DONE))
+        .when(kind == "ExtLink", _pair(F.concat(F.lit(_EXT), own("href"), F.lit(_SHOWN)), _DONE))
+        .when(kind == "ListItem", F.when(in_list, _pair(bullet, F.when(depth == 1, "\n").otherwise(""))).otherwise(_pair("")))
+        .when(kind == "Table", _pair(F.concat(F.lit("{|"), listed, F.lit("\n")), "|}\n")).when(kind == "TableRow", _pair("|-\n"))
+        .when(kind == "TableCell", _pair(F.when(tag == "th", "!").otherwise("|"), "\n")).when(kind == "TableCaption", _pair("|+ ", "\n"))
+        .when(kind == "Preformatted", _pair("<pre>", "</pre>\n")).when(kind == "HorizontalRule", _pair("----\n")).when(kind == "LineBreak", _pair("<br/>\n"))
+        .when(kind == "Div", _tagged(F.lit("div"), listed, "\n")).when(kind == "Span", _tagged(F.lit("span"), listed))
+        .when(kind == "Image", _pair(F.concat(F.lit("[["), own("src"), F.lit("]]"))))
+        .when(kind == "Transclusion", _pair(guarded(F.coalesce(template_markup(n["data_mw"]), F.lit("")))))
+        .when(kind == "ExtensionTag", _pair(guarded(F.coalesce(extension_markup(n["data_mw"]), F.lit("<ext/>")))))
+        .when((kind == "Other") & ~drops_tag, F.when(tag.isin(VOID), _pair(F.concat(F.lit("<"), tag, F.lit("/>")))).otherwise(_tagged(tag)))
+        .otherwise(_pair(""))
     )
+    stray = in_list & ~F.coalesce(kind == "ListItem", F.lit(False))  # lists show their items only
+    in_link = F.contains(above, F.lit("a")) & ~is_text & ~F.coalesce(kind.isin("Bold", "Italic"), F.lit(False))
+    blank = is_text & above.endswith("t") & ~n["text"].rlike(r"\S")
+    return F.when(F.contains(above, F.lit("x")) | above.rlike("[uo][^i]") | stray | in_link | blank, _pair("")).otherwise(out)
+
+
+def _html_of(indent: bool):
+    """n -> (before, after): the HTML before and after what lies below a node."""
+
+    def ends(n: Column) -> Column:
+        kind, in_pre = n["elem_kind"], F.contains(n["above"], F.lit("p"))
+        href = F.coalesce(get_attr(n["attrs"], "href"), F.lit(""))
+        attrs = node_attributes(n["attrs"], n["data_parsoid"], n["data_mw"])
+        tag, plain = kind_tag(kind, n["level"], n["tag"]), ("Bold", "Italic", "LineBreak", "HorizontalRule")
+        tag = F.when(n["tag"].isin("th", "strong", "em"), F.when(kind.isin(*plain), tag).otherwise(n["tag"])).otherwise(tag)
+        link = lambda rel: _pair(F.concat(F.lit(f'<a rel="{rel}" href="'), href, F.lit('"'), node_attributes(F.filter(n["attrs"], lambda a: a["k"] != "rel"), n["data_parsoid"], n["data_mw"]), F.lit(">")), "</a>")
+        spaced = kind.isin("Paragraph", "Heading", "Preformatted", "Table", "TableRow", "TableCell", "UnorderedList", "OrderedList", "Div", "HorizontalRule")
+        known = kind.isin("Paragraph", "Heading", "Preformatted", "Table", "TableRow", "TableCell", "UnorderedList", "OrderedList", "ListItem", "Div", "Span")
+        out = (
+            F.when(n["node_kind"] == "Text", _pair(F.when(in_pre, n["text"]).otherwise(html_escape(n["text"]))))
+            .when(n["node_kind"] == "Comment", _pair(F.concat(F.lit("<!--"), comment_escape(n["text"]), F.lit("-->"))))
+            .when(kind.isin("Bold", "Italic"), _tagged(tag)).when(kind == "LineBreak", _pair("<br/>")).when(kind == "HorizontalRule", _pair("<hr/>\n"))
+            .when(kind == "Wikilink", link("mw:WikiLink")).when(kind == "ExtLink", link("mw:ExtLink"))
+            .when(kind == "Image", _pair(image_html(F.coalesce(get_attr(n["attrs"], "src"), F.lit("")))))
+            .when(known, _tagged(tag, attrs)).otherwise(_tagged(tag, attrs, "\n"))
+        )
+        if not indent:
+            return out
+        return F.when(spaced, F.struct(F.concat(F.repeat(F.lit("  "), n["depth"] - 1), out["before"]).alias("before"), out["after"].alias("after"))).otherwise(out)
+
+    return ends
+
+
+def image_html(src: Column) -> Column:
+    return F.concat(F.lit('<figure-inline><img src="'), src, F.lit('"/></figure-inline>'))
+
+
+def _events(n: Column, ends) -> Column:
+    """What a node puts out and where: at its own piece, and before the piece at which it ends."""
+    pair = ends(n)
+    return F.array(
+        F.struct(n["node_id"].alias("at"), F.lit(1).alias("opens"), F.lit(0).alias("tie"), pair["before"].alias("s")),
+        F.struct(F.greatest(n["until"], n["node_id"] + 1).alias("at"), F.lit(0).alias("opens"), (-n["node_id"]).alias("tie"), pair["after"].alias("s")),
+    )
+
+
+def _joined(events: Column) -> Column:
+    return F.array_join(F.transform(F.array_sort(events), lambda e: e["s"]), "")
+
+
+def _links_settled(markup: Column) -> Column:
+    """Links as they are written: the shown text only where it is not the target."""
+    target = f"([^{MARK}]*)"
+    markup = F.regexp_replace(markup, rf"{_WIKI}{target}{_SHOWN}(?:\1)?{_DONE}", "[[$1]]")
+    markup = F.regexp_replace(markup, rf"{_EXT}{target}{_SHOWN}(?:\[\1\])?{_DONE}", "[$1]")
+    markup = F.regexp_replace(markup, rf"(?s){_EXT}(.*?){_SHOWN}(.*?){_DONE}", "[$1 $2]")
+    return replaced(markup, (_WIKI, "[["), (_SHOWN, "|"), (_DONE, "]]"), (MARK + "0", MARK))
+
+
+def _texts(nodes: DataFrame, key: str, ends, name: str, settle=lambda x: x) -> DataFrame:
+    own = by_row(key) if ROW in nodes.columns else [key]
+    rows = nodes.select(*own, F.struct(*nodes.columns).alias("n"))
+    rows = rows.select(*own, F.explode(_events(F.col("n"), ends)).alias("e"))
+    return rows.groupBy(*own).agg(_joined(F.collect_list("e")).alias(name)).withColumn(name, settle(F.col(name)))
+
+
+def nodes_to_html(nodes: DataFrame, key: str = "page_id", indent: bool = False) -> DataFrame:
+    """loom_row, key, html: the node table as HTML, one row for each page that has nodes."""
+    return _texts(nodes, key, _html_of(indent), "html")
+
+
+def nodes_to_markup(nodes: DataFrame, key: str = "page_id") -> DataFrame:
+    """loom_row, key, wikitext: the node table as wiki markup, one row for each page that has nodes."""
+    return _texts(nodes, key, _markup_of, "wikitext", _links_settled)
+
+
+def markup_of_nodes(nodes: Column) -> Column:
+    """Wiki markup of an array of nodes."""
+    return _links_settled(_joined(F.flatten(F.transform(nodes, lambda n: _events(n, _markup_of)))))
 
 
 def html2wt(page: Column) -> Column:
-    """Wiki markup of a page's body: headings, emphasis, links, lists, tables, rules, text."""
-    x = F.regexp_replace(body_of(page), r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", "")
-    x = F.regexp_replace(x, r"(?i)</?(?:b|strong)(?:\s[^>]*)?>", "'''")
-    x = F.regexp_replace(x, r"(?i)</?(?:i|em)(?:\s[^>]*)?>", "''")
-    for n in range(1, 7):
-        x = F.regexp_replace(x, rf"(?i)<h{n}(?:\s[^>]*)?>", "=" * n)
-        x = F.regexp_replace(x, rf"(?i)</h{n}>", "=" * n + "\n")
-    x = F.regexp_replace(x, r"""(?is)<a\s(?=[^>]*rel="mw:ExtLink")[^>]*href="([^"]*)"[^>]*>\[\1\]</a>""", "[$1]")
-    x = F.regexp_replace(x, r"""(?is)<a\s(?=[^>]*rel="mw:ExtLink")[^>]*href="([^"]*)"[^>]*>(.*?)</a>""", "[$1 $2]")
-    x = F.regexp_replace(x, r"""(?is)<a\s[^>]*href="([^"]*)"[^>]*>\1</a>""", "[[$1]]")
-    x = F.regexp_replace(x, r"""(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>""", "[[$1|$2]]")
-    ordered = F.regexp_extract_all(x, F.lit(r"(?is)<ol[^>]*>.*?</ol>"), F.lit(0))
-    x = F.aggregate(F.array_distinct(ordered), x, lambda t, m: F.replace(t, m, F.regexp_replace(m, r"(?i)<li[^>]*>", "# ")))
-    x = F.regexp_replace(x, r"(?i)<li[^>]*>", "* ")
-    x = F.regexp_replace(x, r"(?i)</li>", "\n")
-    for tag, markup in (("table", "{|\n"), ("/table", "|}\n"), ("tr", "|-\n"), ("(?:td|th)", "| "), ("/(?:td|th)", "\n"), ("caption", "|+ "), ("/caption", "\n"), ("hr", "----\n"), ("br", "<br/>"), ("p", ""), ("/p", "\n"), ("/?(?:ul|ol|dl|tbody|thead|span|article|section|nav|div|footer|header|main|html|body|/tr)", "")):
-        x = F.regexp_replace(x, rf"(?i)<{tag}(?:\s[^>]*)?/?>", markup)
-    return replaced(x, ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+    """Wiki markup of a page's body, within the row: nodes in page order, each with what it puts before and after."""
+    pieces = _found(page)
+    both = F.arrays_zip(pieces.alias("n"), _placed(F.transform(pieces, _step)).alias("p"))
+    both = F.filter(F.transform(both, lambda x, i: F.struct(x["n"].alias("n"), x["p"].alias("p"), i.alias("i"))), lambda x: x["p"].isNotNull())
+    return markup_of_nodes(F.transform(both, lambda x: _node(x["n"], x["p"], x["i"])))
+
+
+def html_to_markup(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """key, wikitext: wiki markup of each page, one row for each input row; a null page gives an empty text."""
+    names = names_of(pages, key)
+    rows = with_nodes(numbered(pages, key, F.col(html).alias("html")), F.col("html"), "nodes")
+    return rows.select(*names, markup_of_nodes(F.col("nodes")).alias("wikitext"))

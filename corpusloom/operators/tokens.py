@@ -1,7 +1,8 @@
 """Wiki markup as token rows, and the groupings over them as windows.
 
-The scanner is one pattern of alternatives in order of precedence: regexp_extract_all gives the
-lexemes of a text, CASE expressions name them, and lines are gaps and islands over the token rows.
+Calls are found first, at any depth, and stand for one lexeme each. The scanner is one pattern of
+alternatives in order of precedence: regexp_extract_all gives the lexemes of a text, runs of plain
+text included, and CASE expressions name them. Lines are gaps and islands over the token rows.
 """
 
 from __future__ import annotations
@@ -11,27 +12,25 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.braces import BEGIN, END, LEFT, RIGHT, calls_held, released
 from ..functions.text import let
+from .rows import ROW, by_row, numbered
 
-# Braces nest three deep.
-_IN = r"(?:[^{}]|\{(?!\{)|\}(?!\}))"
-_B1 = r"\{\{" + _IN + r"*\}\}"
-_B2 = r"\{\{(?:" + _IN + "|" + _B1 + r")*\}\}"
-_ATTRS = r"(?:[^<>\"']|\"[^\"]*\"|'[^']*')*"
+# Loops in patterns are possessive, so that they need no stack however long a lexeme is.
+_VALUES = r"\"[^\"]*+\"|'[^']*+'"
+_ATTRS = rf"(?:[^<>\"']++|{_VALUES})*+"
 #: kind, whether only at the start of a line, pattern, what must follow; in order of precedence.
 LEXEMES = (
     ("Pre", False, r"(?is:<pre\b[^>]*>.*?(?:</pre\s*>|\z))", ""),
     ("NowikiContent", False, r"(?is:<nowiki\s*/>|<nowiki>.*?</nowiki>)", ""),
     ("Comment", False, r"(?s:<!--.*?(?:-->|\z))", ""),
-    ("TplArgOpen", False, r"\{\{\{(?!\{)" + _IN + r"*\}\}\}", ""),
-    ("ParserFnOpen", False, r"\{\{\s*#(?:" + _IN + "|" + _B2 + r")*\}\}", ""),
-    ("TemplateOpen", False, r"\{\{(?!\{)(?:" + _IN + "|" + _B2 + r")+\}\}", ""),
+    ("Call", False, rf"(?s:{BEGIN}.*?{END})", ""),
     ("Redirect", True, r"(?i:#redirec(?:t|cion))\s*:?\s*\[\[[^\]\n]*\]\]", ""),
     ("HeadingOpen", True, r"={2,6}", r"(?=[ \n]|==)"),
     ("Hr", True, r"-{4,}", ""),
     ("ListItem", True, r"(?:\*+|#+|;+|:+)", ""),
-    ("TableOpen", True, r"\{\|[^\n]*", ""),
-    ("TableClose", True, r"\|\}", ""),
+    ("TableOpen", True, rf"(?:\{{|{LEFT})\|[^\n]*", ""),
+    ("TableClose", True, rf"\|(?:\}}|{RIGHT})", ""),
     ("TableRow", True, r"\|-[^\n]*", ""),
     ("TableCaption", True, r"\|\+", ""),
     ("TableCell", True, r"[|!]", ""),
@@ -43,13 +42,15 @@ LEXEMES = (
     ("WikilinkPipe", False, r"\|", ""),
     ("Quote", False, r"'{2,}", ""),
     ("HtmlTagClose", False, r"</[A-Za-z][^<>]*>", ""),
-    ("SelfClosingTag", False, r"<[A-Za-z][A-Za-z0-9-]*" + _ATTRS + r"/>", ""),
-    ("HtmlTagOpen", False, r"<[A-Za-z][A-Za-z0-9-]*" + _ATTRS + r">", ""),
+    ("SelfClosingTag", False, rf"<[A-Za-z][A-Za-z0-9-]*+(?:[^<>\"'/]++|/(?!>)|{_VALUES})*+/>", ""),
+    ("HtmlTagOpen", False, rf"<[A-Za-z][A-Za-z0-9-]*+{_ATTRS}>", ""),
     ("MagicWord", False, r"__[A-Za-z]+__", ""),
     ("ParagraphBreak", False, r"\n{2,}", ""),
     ("Newline", False, r"\n", ""),
 )
-SCAN = "|".join(f"{'(?m:^)' if start else ''}{p}{ahead}" for _, start, p, ahead in LEXEMES) + r"|[^\n\[\]|{}<'=_!-]+|(?s:.)"
+_ANYWHERE = "|".join(p + ahead for _, start, p, ahead in LEXEMES if not start)
+_PLAIN = r"[^\n\[\]|<'_!" + BEGIN[0] + "]"
+SCAN = "|".join(f"{'(?m:^)' if start else ''}{p}{ahead}" for _, start, p, ahead in LEXEMES) + rf"|(?:{_PLAIN}++|(?!{_ANYWHERE})[^\n])++"
 INLINE = "Text BoldOpen BoldClose ItalicOpen ItalicClose WikilinkOpen WikilinkPipe WikilinkClose ExtLinkOpen ExtLinkSep ExtLinkClose MagicWord Comment NowikiContent".split()
 BLOCK_START = "HeadingOpen Hr ListItem TableOpen Redirect".split()
 LINE_END = ("Newline", "ParagraphBreak")
@@ -70,8 +71,19 @@ def _kind(lexeme: Column, starts_line: Column) -> Column:
     out = F.lit("Text")
     for kind, start, pattern, _ in reversed(LEXEMES):
         hit = lexeme.rlike(rf"\A(?:{pattern})\z")
-        out = F.when(hit & starts_line if start else hit, kind).otherwise(out)
-    return out
+        out = F.when(hit & starts_line if start else hit, _call_kind(lexeme) if kind == "Call" else F.lit(kind)).otherwise(out)
+    return F.when(lexeme.rlike(rf"\A[^\n\[\]|<'_!={LEFT[0]}{{*#;:-]"), "Text").otherwise(out)
+
+
+def _call_kind(lexeme: Column) -> Column:
+    """The kind of a held call; a pair of braces between two more is an argument's."""
+    return F.when(lexeme.startswith(BEGIN + 3 * LEFT), "TplArgOpen").when(lexeme.rlike(rf"\A{BEGIN}{LEFT}{LEFT}\s*#"), "ParserFnOpen").otherwise("TemplateOpen")
+
+
+def _call_name(lexeme: Column) -> Column:
+    """What stands between the braces of a held call, up to the first bar."""
+    cut = F.when(lexeme.startswith(BEGIN + 3 * LEFT), 8).otherwise(6)
+    return F.trim(F.split_part(released(F.substring(lexeme, cut + 1, F.char_length(lexeme) - 2 * cut)), F.lit("|"), F.lit(1)))
 
 
 def _payload(kind: Column, lexeme: Column) -> Column:
@@ -80,9 +92,6 @@ def _payload(kind: Column, lexeme: Column) -> Column:
         F.when(kind == "Comment", F.regexp_replace(F.substring(lexeme, 5, 1 << 30), r"-->\z", ""))
         .when(kind == "NowikiContent", F.regexp_replace(lexeme, r"(?is)^<nowiki\s*/?>|</nowiki>\z", ""))
         .when(kind == "Pre", F.regexp_replace(lexeme, r"(?is)^<pre\b[^>]*>|</pre\s*>\z", ""))
-        .when(kind == "TplArgOpen", F.trim(F.regexp_extract(lexeme, r"(?s)^\{\{\{([^|}]*)", 1)))
-        .when(kind == "TemplateOpen", F.trim(F.regexp_extract(lexeme, r"(?s)^\{\{([^|}]*)", 1)))
-        .when(kind == "ParserFnOpen", F.trim(F.regexp_extract(lexeme, r"(?s)^\{\{\s*(#[^:|}]*)", 1)))
         .when(kind == "Redirect", F.trim(F.regexp_extract(lexeme, r"\[\[([^\]|]*)", 1)))
         .when(kind == "ExtLinkOpen", F.substring(lexeme, 2, 1 << 30))
         .when(kind == "MagicWord", F.regexp_replace(lexeme, "^__|__$", ""))
@@ -102,35 +111,34 @@ def parse_attributes(tag: Column) -> Column:
 
 
 def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, tok_idx, line_no, kind, s, level, attrs: a row for each token, with EOF as the last.
-
-    Runs of plain text between recognised lexemes are one Text token. No shuffle: lexemes of a text
-    are merged by a fold over its array before the rows are laid out.
-    """
-    lexemes = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SCAN), F.lit(0))
-    held = docs.select(key, lexemes.alias("lex"))
-    named = F.transform(
-        "lex", lambda x, i: F.struct(x.alias("lex"), _kind(x, (i == 0) | F.coalesce(F.get("lex", i - 1).endswith("\n"), F.lit(False))).alias("kind"))
-    )
-    held = held.select(key, named.alias("lex"))
-    empty = F.array().cast("array<struct<lex:string,kind:string>>")
+    """loom_row, key, tok_idx, line_no, kind, s, level, attrs, lex: a row for each token, EOF as the last.
 
-    def merge(out: Column, x: Column) -> Column:
-        last = F.try_element_at(out, F.lit(-1))
-        joined = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(F.concat(last["lex"], x["lex"]).alias("lex"), F.lit("Text").alias("kind"))))
-        return F.when((x["kind"] == "Text") & F.coalesce(last["kind"] == "Text", F.lit(False)), joined).otherwise(F.concat(out, F.array(x)))
+    lex is the piece of the text that the token stands for; together they are the text. Lexemes are
+    found and named within their row; only the count of lines shuffles, on the row's number.
 
-    held = held.select(key, F.aggregate("lex", empty, merge).alias("lex"))
+    Rows: every input row has a number and tokens of its own, whether its key is null or repeated;
+    a null or empty text has EOF alone; other columns are left out.
+    """
+    lexemes = F.regexp_extract_all(calls_held(F.coalesce(text, F.lit(""))), F.lit(SCAN), F.lit(0))
+    found = numbered(docs, key, lexemes.alias("lex"))
+    starts_line = lambda i: (i == 0) | F.coalesce(F.get("lex", i - 1).endswith("\n"), F.lit(False))
+    named = F.transform("lex", lambda x, i: F.struct(x.alias("lex"), _kind(x, starts_line(i)).alias("kind")))
     eof = F.array(F.struct(F.lit("").alias("lex"), F.lit("EOF").alias("kind")))
-    rows = held.select(key, F.posexplode(F.concat("lex", eof)).alias("tok_idx", "t")).select(key, "tok_idx", "t.kind", "t.lex")
-    level = F.when(F.col("kind").isin("HeadingOpen", "ListItem", "Quote"), F.char_length("lex"))
-    rows = rows.select(key, "tok_idx", "kind", _payload(F.col("kind"), F.col("lex")).alias("s"), level.alias("level"), F.when(F.col("kind").isin("HtmlTagOpen", "SelfClosingTag"), parse_attributes(F.col("lex"))).alias("attrs"), "lex")
-    return number_lines(rows, key)
-
-
-def number_lines(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Adds line_no: how many line ends come before the token."""
-    before = Window.partitionBy(key).orderBy("tok_idx").rowsBetween(Window.unboundedPreceding, -1)
+    rows = found.select(*by_row(key), F.posexplode(F.concat(named, eof)).alias("tok_idx", "t"))
+    rows = rows.select(*by_row(key), "tok_idx", "t.kind", F.col("t.lex").alias("held"), released(F.col("t.lex")).alias("lex"))
+    kind, lex = F.col("kind"), F.col("lex")
+    is_call = kind.isin("TplArgOpen", "TemplateOpen", "ParserFnOpen")
+    name = _call_name(F.col("held"))
+    name = F.when(kind == "ParserFnOpen", F.trim(F.split_part(name, F.lit(":"), F.lit(1)))).otherwise(name)
+    attrs = F.when(kind.isin("HtmlTagOpen", "SelfClosingTag"), parse_attributes(lex))
+    level = F.when(kind.isin("HeadingOpen", "ListItem", "Quote"), F.char_length(lex))
+    rows = rows.select(*by_row(key), "tok_idx", "kind", F.when(is_call, name).otherwise(_payload(kind, lex)).alias("s"), level.alias("level"), attrs.alias("attrs"), "lex")
+    return number_lines(rows)
+
+
+def number_lines(rows: DataFrame) -> DataFrame:
+    """Adds line_no: how many line ends come before the token in its row."""
+    before = Window.partitionBy(ROW).orderBy("tok_idx").rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("line_no", F.coalesce(F.sum(F.col("kind").isin(*LINE_END).cast("int")).over(before), F.lit(0)).cast("int"))
 
 
@@ -149,11 +157,11 @@ def display(kind: Column, s: Column, level: Column) -> Column:
 
 
 def quote_parity(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Per line the number of italic and bold quote runs and whether both are odd."""
+    """Per row and line the number of italic and bold quote runs and whether both are odd."""
     n = F.col("level")
     quotes = rows.where("kind = 'Quote'").withColumn("level", F.when(n == 4, 3).when(n > 5, 5).otherwise(n))
-    counts = quotes.groupBy(key, "line_no").agg(F.count_if(F.col("level").isin(2, 5)).alias("italic"), F.count_if(F.col("level").isin(3, 5)).alias("bold"))
-    return counts.withColumn("unbalanced", (F.col("italic") % 2 == 1) & (F.col("bold") % 2 == 1))
+    counts = quotes.groupBy(*by_row(key), "line_no").agg(F.count_if(F.col("level").isin(2, 5)).alias("italic"), F.count_if(F.col("level").isin(3, 5)).alias("bold"))
+    return counts.withColumn("unbalanced", (F.col("italic") % 2 == 1) & (F.col("bold") % 2 == 1)).drop(*([] if key == ROW else [ROW]))
 
 
 def _odd_pair(chunks: Column) -> Column:

@@ -92,7 +92,7 @@ query("html_list_texts", "select page_id, unnest(regexp_extract_all(html, '<a hr
 query("html2wt_links", "select page_id, len(regexp_extract_all(html, '<a href'))::bigint as links from pages")(lambda s, d: read(s, d, "pages").select("page_id", F.size(F.regexp_extract_all(html.html2wt(C("html")), F.lit(r"\[\[/[^\]|]*\|"), F.lit(0))).cast("long").alias("links")))
 query("html2wt", "select p_partkey, '==' || p_brand || '==' || chr(10) || '''''' || p_name || ''''' and ''''''' || p_type || '''''''' || chr(10) || '[[x|' || p_brand || ']]' || chr(10) || '* one' || chr(10) || '# two' || chr(10) || '----' as out from part")(lambda s, d: read(s, d, "part").select("p_partkey", F.trim(F.rtrim(F.regexp_replace(html.html2wt(F.concat(F.lit("<body><h2>"), "p_brand", F.lit("</h2><p><i>"), "p_name", F.lit("</i> and <b>"), "p_type", F.lit('</b></p><p><a href="x">'), "p_brand", F.lit("</a></p><ul><li>one</li></ul><ol><li>two</li></ol><hr/></body>"))), r"\n\z", ""))).alias("out")))
 query("round_trip", "select p_partkey as doc_id, '==' || p_brand || '==' || chr(10) || chr(10) || '''''' || p_name || '''''' as out from part")(lambda s, d: blocks.wt2html(_built(s, d, "part", "p_partkey", F.concat(F.lit("== "), "p_brand", F.lit(" ==\n''"), "p_name", F.lit("''")))).select("doc_id", F.regexp_replace(html.html2wt(C("html")), r"\n\z", "").alias("out")))
-query("node_diff", "select page_id, 'TextModified' as change, trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) is not null as known from pages where contains(html, '<h1>')")(lambda s, d: diff.diff_nodes(html.html_nodes(read(s, d, "pages")), html.html_nodes(read(s, d, "pages").withColumn("html", F.replace("html", F.lit("<h1>"), F.lit("<h1>edited "))))).select("page_id", "change", F.col("old_text").isNotNull().alias("known")))
+query("node_diff", "select page_id, 'TextModified' as change, trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) is not null as known from pages where contains(html, '<h1>')")(lambda s, d: diff.diff_pages(read(s, d, "pages").select("page_id", C("html").alias("html0"), F.replace("html", F.lit("<h1>"), F.lit("<h1>edited ")).alias("html1"))).select("page_id", "change", F.col("old_text").isNotNull().alias("known")))
 query("selser", "select n_nationkey as page_id, case when n_nationkey % 2 = 0 then 'a ' || n_name || ' b' else 'a new ' || n_name || ' b' end as wikitext, 0::bigint as ignored from nation")(lambda s, d: diff.selser(read(s, d, "nation").select(C("n_nationkey").alias("page_id"), F.concat(F.lit("a "), "n_name", F.lit(" b")).alias("wikitext"), F.concat(F.lit("<body><p>"), "n_name", F.lit("</p></body>")).alias("html0"), F.concat(F.lit("<body><p>"), F.when(C("n_nationkey") % 2 == 0, "").otherwise("new "), "n_name", F.lit("</p></body>")).alias("html1"))))
 query("source_regions", "select n_regionkey as page_id, 0::bigint as s, 25::bigint as e from nation group by 1")(lambda s, d: diff.source_regions(read(s, d, "nation").select(C("n_regionkey").alias("page_id"), F.concat(F.lit('{"dsr":['), F.pmod(C("n_nationkey") * 7, F.lit(20)) * 0, F.lit(","), 20 + C("n_nationkey") * 0 + 5, F.lit(",0,0]}")).alias("data_parsoid")).distinct()))
 query("test_summary", "select o_orderpriority as path, count(*) as total, count(*) filter (o_orderstatus = 'F') as passed, count(*) filter (o_orderstatus = 'O') as failed, count(*) filter (o_orderstatus = 'P') as skipped, 0::bigint as errors from orders group by rollup (o_orderpriority)")(lambda s, d: fixtures.summary(read(s, d, "orders").select(C("o_orderpriority").alias("path"), F.when(C("o_orderstatus") == "F", "PASS").when(C("o_orderstatus") == "O", "FAIL").otherwise("SKIP").alias("status"))))

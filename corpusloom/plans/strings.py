@@ -105,7 +105,7 @@ _column("pf_iferror", "part", "p_partkey", lambda: templates.pf_iferror(template
 _column("pf_tag", "part", "p_partkey", lambda: templates.pf_tag(F.lit(" ref "), C("p_name"), F.create_map(F.lit("name"), C("p_brand"))), "'<ref name=\"' || p_brand || '\">' || p_name || '</ref>'")
 _column("pf_titleparts", "part", "p_partkey", lambda: templates.pf_titleparts(F.concat_ws("/", F.lit("a"), "p_brand", "p_name", F.lit("d")), F.lit(2), F.lit(2)), "p_brand || '/' || p_name")
 query("pf_ifexist", "select n_nationkey, exists (select 1 from region where r_name = n_name or r_regionkey = n_nationkey) as found from nation")(lambda s, d: read(s, d, "nation").join(read(s, d, "region").select(F.col("r_regionkey").alias("n_nationkey"), F.lit(True).alias("found")), "n_nationkey", "left").select("n_nationkey", F.coalesce("found", F.lit(False)).alias("found")))
-query("variables", "select column0 as name, column1 as out from (values ('PAGENAME', 'TestPage'), ('sitename', 'Wikipedia'), ('CURRENTYEAR', '2026'), ('CURRENTTIME', '{{CURRENTTIME}}'), ('Other', null)) v(column0, column1)")(lambda s, d: s.createDataFrame([("PAGENAME",), ("sitename",), ("CURRENTYEAR",), ("CURRENTTIME",), ("Other",)], "name string").select("name", templates.variable(C("name")).alias("out")))
+query("variables", "select column0 as name, column1 as out from (values ('PAGENAME', 'TestPage'), ('sitename', 'Wikipedia'), ('CURRENTYEAR', '2026'), ('CURRENTTIME', '{{CURRENTTIME}}'), ('Other', null)) v(column0, column1)")(lambda s, d: s.createDataFrame([("PAGENAME",), ("sitename",), ("CURRENTYEAR",), ("CURRENTTIME",), ("Other",)], "name string").select("name", templates.variable(C("name"), now=F.to_timestamp(F.lit("2026-07-31"))).alias("out")))
 _mw = lambda: F.concat(F.lit('{"parts":["x",{"template":{"target":{"wt":"'), C("n_name"), F.lit('"},"params":{"b":{"wt":"2"},"a":{"wt":"1"}}}}]}'))
 _column("json_template", "nation", "n_nationkey", lambda: templates.template_markup(_mw()), "'{{' || n_name || '|a=1|b=2}}'")
 _column("json_extension", "nation", "n_nationkey", lambda: templates.extension_markup(F.concat(F.lit('{"name":"ref","attrs":{"name":"'), C("n_name"), F.lit('"}'), F.when(C("n_nationkey") % 2 == 0, ',"body":{"extsrc":"s"}').otherwise(""), F.lit("}"))), "'<ref name=\"' || n_name || case when n_nationkey % 2 = 0 then '\">s</ref>' else '\"/>' end")

@@ -103,7 +103,7 @@ def test_wt2html(spark):
 def test_expansion(spark):
     tpl = spark.createDataFrame([("1x", "{{{1}}}"), ("loop", "{{loop}}"), ("nest", "<{{1x|{{{1}}}}}>"), ("inc", "a<noinclude>b</noinclude>")], "title string, content string")
     texts = ["{{1x|hello}}", "{{nest|{{1x|z}}}}", "{{gone}}!", "{{#ifeq: a | a | {{inc}} | no}}", "{{CURRENTYEAR}} {{{p|q}}} {{{r}}}", "plain {{", "{{#ifexist: Here | yes | no}}{{#ifexist: There | yes | no}}"]
-    got = {r["doc_id"]: r["expanded"] for r in expand.expand_templates(docs(spark, *texts), tpl, pages=spark.createDataFrame([("Here",)], "title string"), max_depth=6).collect()}
+    got = {r["doc_id"]: r["expanded"] for r in expand.expand_templates(docs(spark, *texts), tpl, pages=spark.createDataFrame([("Here",)], "title string"), max_depth=6, now=F.to_timestamp(L("2026-07-31"))).collect()}
     assert [got[i] for i in range(7)] == ["hello", "<z>", "!", "a", "2026 q {r}", "plain {{", "yesno"]
     loop = expand.expand_templates(docs(spark, "x {{loop}}"), tpl, max_depth=3).collect()
     assert [r["expanded"] for r in loop] == ["x {{loop}}"]
