@@ -15,6 +15,21 @@ def is_transient(code: Column) -> Column:
     return code.isin(*TRANSIENT_ERRORS)
 
 
+def _as_text(value: object) -> str:
+    if isinstance(value, bool):
+        return str(value).lower()
+    return str(value) if isinstance(value, (str, int, float)) else ""
+
+
+def _vectorised(function: Callable[[list[str]], object]):
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for rows in batches:
+            yield rows.map(lambda values: _as_text(function([] if values is None else list(values))))
+
+    return run
+
+
 class Modules:
     """name -> function of a list of argument strings; the result becomes text, anything else ''."""
 
@@ -28,22 +43,11 @@ class Modules:
         return name in self.functions
 
     def call(self, name: str, args: Column) -> Column:
-        function = self.functions[name]
-
-        @F.pandas_udf("string")
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            def one(values) -> str:
-                out = function([] if values is None else list(values))
-                return out if isinstance(out, str) else str(out).lower() if isinstance(out, bool) else str(out) if isinstance(out, (int, float)) else ""
-
-            for rows in batches:
-                yield rows.map(one)
-
-        return run(args)
+        return _vectorised(self.functions[name])(args)
 
     def to_sql(self, spark: SparkSession, name: str) -> None:
-        function = self.functions[name]
-        spark.udf.register(name, F.pandas_udf(lambda rows: rows.map(lambda v: str(function(list(v)))), "string"))
+        """Makes the function known to SQL under its name; values are those of call()."""
+        spark.udf.register(name, _vectorised(self.functions[name]))
 
 
 class ExtensionTags:

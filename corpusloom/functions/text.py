@@ -74,6 +74,11 @@ def text_tag(name: Column, attrs: Column, content: Column) -> Column:
     return F.when(content.isNull(), F.concat(start, F.lit(" />"))).otherwise(F.concat(start, F.lit(">"), content, F.lit("</"), name, F.lit(">")))
 
 
+def html_create(tag: Column) -> Column:
+    """An empty element."""
+    return F.concat(F.lit("<"), tag, F.lit("></"), tag, F.lit(">"))
+
+
 def uri_encode(text: Column) -> Column:
     return replaced(F.url_encode(text), ("*", "%2A"), ("%7E", "~"))
 

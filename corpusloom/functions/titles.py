@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .site import INTERWIKI, MAGIC_WORDS, NAMESPACES
@@ -66,6 +66,11 @@ def title_facts(title: Column) -> Column:
     )
 
 
+def with_current_title(docs: DataFrame, title: str = "title") -> DataFrame:
+    """docs with page, the facts of the title that each row is the page of."""
+    return docs.withColumn("page", title_facts(parse_title(F.col(title))))
+
+
 def with_prefix(name: Column, prefix: str) -> Column:
     return F.when(F.instr(name, ":") == 0, F.concat(F.lit(prefix + ":"), name)).otherwise(name)
 
@@ -87,7 +92,7 @@ def redirect_target(text: Column) -> Column:
 
 def magic_word(alias: Column) -> Column:
     """The canonical name of a magic word, by any of its spellings in either case, else null."""
-    return F.try_element_at(_map((a.lower(), k) for k, v in MAGIC_WORDS.items() for a in v.split()), F.lower(alias))
+    return F.try_element_at(_map((a.lower(), k) for k, v in MAGIC_WORDS.items() for a in v), F.lower(alias))
 
 
 def wikilink_html(target: Column, display: Column | None = None) -> Column:

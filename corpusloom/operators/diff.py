@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.templates import source_range
+from ..functions.text import trim_all
 from .html import html_nodes, markup_of_nodes, with_nodes
 from .rows import ROW, by_row, names_of, numbered
 
@@ -94,6 +95,6 @@ def selser(docs: DataFrame, key: str = "page_id", wikitext: str = "wikitext", ht
     below = lambda path: F.filter("nodes", lambda n: (n["path"] == path) | n["path"].startswith(F.concat(path, F.lit("/"))))
     texts = F.transform("added", lambda path: F.concat(F.lit("\n"), markup_of_nodes(below(path))))
     patched = F.aggregate("edits", F.coalesce(wikitext, F.lit("")), lambda t, e: replace_first(t, e["old_text"], e["new_text"]))
-    patched = grown.select(ROW, F.trim(F.concat(patched, F.array_join(texts, ""))).alias("patched"), "ignored")
+    patched = grown.select(ROW, trim_all(F.concat(patched, F.array_join(texts, ""))).alias("patched"), "ignored")
     out = rows.join(patched, ROW, "left")
     return out.select(*names, F.when(F.col("ignored").isNull(), F.col(wikitext)).otherwise(F.col("patched")).alias("wikitext"), F.coalesce("ignored", F.lit(0)).alias("ignored"))

@@ -302,6 +302,11 @@ def _html_of(indent: bool):
     return ends
 
 
+def node_json(*fields: str) -> Column:
+    """The fields of a node as one JSON object; those without a value are left out."""
+    return F.to_json(F.struct(*fields))
+
+
 def image_html(src: Column) -> Column:
     return F.concat(F.lit('<figure-inline><img src="'), src, F.lit('"/></figure-inline>'))
 

@@ -13,10 +13,10 @@ from .strings import query, read
 C = F.col
 
 query("tag_classes", "select tag, count(*) as n, bool_and(tag in ('nav', 'ul', 'li', 'div', 'article', 'h1', 'footer')) as breaks, bool_and(tag in ('ul', 'li', 'div', 'h1', 'p', 'body')) as blocks from (select unnest(regexp_extract_all(html, '<(nav|ul|li|div|article|h1|footer|body|b|a)[ >]', 1)) as tag from pages) group by tag")(
-    lambda s, d: html.html_tags(read(s, d, "pages")).where("not closing and tag in ('nav', 'ul', 'li', 'div', 'article', 'h1', 'footer', 'body', 'b', 'a')").groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.bool_and(C("tag").isin(site.PARAGRAPH_BREAKING_TAGS)).alias("breaks"), F.bool_and(C("tag").isin(site.BLOCK_TAGS)).alias("blocks"))
+    lambda s, d: html.html_tags(read(s, d, "pages")).where("not closing and tag in ('nav', 'ul', 'li', 'div', 'article', 'h1', 'footer', 'body', 'b', 'a')").groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.bool_and(C("tag").isin(*site.PARAGRAPH_BREAKING_TAGS)).alias("breaks"), F.bool_and(C("tag").isin(*site.BLOCK_TAGS)).alias("blocks"))
 )
 query("tag_classes_whole", f"select tag, count(*) as n, bool_and(tag in {tuple(site.PARAGRAPH_BREAKING_TAGS)}) as breaks, bool_and(tag in {tuple(site.BLOCK_TAGS)}) as blocks from (select unnest({ALL_TAGS_SQL.format('html')}) as tag from pages) group by tag")(
-    lambda s, d: html.html_tags(read(s, d, "pages")).where("not closing").groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.bool_and(C("tag").isin(site.PARAGRAPH_BREAKING_TAGS)).alias("breaks"), F.bool_and(C("tag").isin(site.BLOCK_TAGS)).alias("blocks"))
+    lambda s, d: html.html_tags(read(s, d, "pages")).where("not closing").groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.bool_and(C("tag").isin(*site.PARAGRAPH_BREAKING_TAGS)).alias("breaks"), F.bool_and(C("tag").isin(*site.BLOCK_TAGS)).alias("blocks"))
 )
 query("extension_known", "select n_nationkey, n_nationkey % 2 = 0 as known from nation")(lambda s, d: read(s, d, "nation").withColumn("name", F.when(C("n_nationkey") % 2 == 0, "math").otherwise("maths")).join(site.dim_extension_tag(s).withColumn("known", F.lit(True)), "name", "left").select("n_nationkey", F.coalesce("known", F.lit(False)).alias("known")))
 query("element_kinds", "select n_nationkey, kind from nation cross join (values ('Transclusion'), ('ExtensionTag'), ('Annotation'), ('CategoryLink'), ('ExtLink'), ('Wikilink'), ('Span'), ('Other'), ('Figure')) v(kind)")(

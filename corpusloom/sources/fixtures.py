@@ -48,19 +48,41 @@ def options(raw: Column) -> Column:
     return F.when(F.ltrim(raw).startswith("{"), F.from_json(raw, "map<string,string>")).otherwise(flat)
 
 
+def mode_of(raw: Column, has_html: Column, has_edit: Column) -> Column:
+    """How a case is run: wt2html, selser or skip; options in JSON and none at all stand for wt2html."""
+    asked = F.when(F.ltrim(raw).startswith("{"), "wt2html").otherwise(F.coalesce(F.try_element_at(options(raw), F.lit("parsoid")), F.lit("wt2html")))
+    listed = F.transform(F.split(asked, ","), trim_all)
+    return F.when(F.array_contains(listed, "wt2html") & has_html, "wt2html").when(has_edit, "selser").otherwise("skip")
+
+
+def result_line(status: Column, detail: Column) -> Column:
+    return F.when(status == "PASS", "PASS").otherwise(F.concat(status, F.lit(" ("), F.coalesce(detail, F.lit("")), F.lit(")")))
+
+
+def summary_line() -> Column:
+    """The counts of a row of summary() as four lines."""
+    shape = "Results: %d/%d passed\n  Failed:  %d\n  Skipped: %d\n  Errors:  %d"
+    return F.format_string(shape, "passed", "total", "failed", "skipped", "errors")
+
+
 def normalized(page: Column) -> Column:
     return trim_all(F.regexp_replace(normalize_paragraphs(strip_annotations(strip_transclusion_spans(body_of(page)))), r">\s+<", "><"))
 
 
 def run_cases(rows: DataFrame) -> DataFrame:
-    """path, line_number, title, status, expected, actual, hint of the cases with markup and HTML."""
+    """path, line_number, title, mode, status, expected, actual, hint of every test.
+
+    Edits by script (selser) need a browser's tree and are skipped, as are cases without HTML.
+    """
     tests = rows.where("kind = 'test'").withColumn("doc_id", F.concat_ws("#", "path", F.col("line_number").cast("string")))
     made = wt2html(tests, text="wikitext")
     expected = F.coalesce("html_parsoid", "html_integrated", "html_php")
     both = tests.join(made, "doc_id", "left").withColumn("expected", normalized(expected)).withColumn("actual", normalized(F.col("html")))
-    skip = F.col("wikitext").isNull() | F.col("expected").isNull()
+    mode = mode_of(F.col("options_raw"), F.col("expected").isNotNull(), F.col("wikitext_edited").isNotNull())
+    both = both.withColumn("mode", mode)
+    skip = F.col("wikitext").isNull() | F.col("expected").isNull() | (F.col("mode") != "wt2html")
     status = F.when(skip, "SKIP").when(F.col("expected") == F.col("actual"), "PASS").otherwise("FAIL")
-    return both.select("path", "line_number", "title", status.alias("status"), "expected", "actual", F.when(~skip, difference_hint(F.col("expected"), F.col("actual"))).alias("hint"))
+    return both.select("path", "line_number", "title", "mode", status.alias("status"), "expected", "actual", F.when(~skip, difference_hint(F.col("expected"), F.col("actual"))).alias("hint"))
 
 
 def summary(results: DataFrame) -> DataFrame:

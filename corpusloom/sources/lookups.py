@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.titles import redirect_target, with_prefix
+from ..functions.titles import full_text, parse_title, redirect_target, with_prefix
 
 TTL_SECONDS = 300
 
@@ -50,6 +50,33 @@ def messages(wanted: DataFrame, content: Content) -> DataFrame:
     return wanted.join(content.messages, ["lang", "key"], "left").withColumn("value", F.coalesce("value", "key"))
 
 
+def prefixed_lookup(wanted: DataFrame, pages: DataFrame, prefix: str, ns: int, name: str = "name") -> DataFrame:
+    """wanted with content: the page of that name in the namespace, whether the name carries its prefix or not."""
+    title = parse_title(F.col(name))
+    full = F.when(title["ns"] == ns, full_text(title)).otherwise(F.concat(F.lit(prefix + ":"), title["text"]))
+    known = pages.select(F.col("title").alias("l_title"), "content")
+    return wanted.join(known, full == F.col("l_title"), "left").drop("l_title")
+
+
+def modules(wanted: DataFrame, content: Content, name: str = "name") -> DataFrame:
+    """wanted (name) with content: the source of the module, null for a missing one."""
+    return prefixed_lookup(wanted, content.modules, "Module", 828, name)
+
+
+def files(wanted: DataFrame, content: Content) -> DataFrame:
+    """wanted (title) with file, the facts of the file as a struct, null for a missing one."""
+    facts = [c for c in content.files.columns if c != "title"]
+    known = content.files.select(F.col("title").alias("l_title"), F.struct(*facts).alias("file"))
+    return wanted.join(known, F.col("title") == F.col("l_title"), "left").drop("l_title")
+
+
+def page_messages(wanted: DataFrame, content: Content) -> DataFrame:
+    """wanted (key) with value: the text of the page MediaWiki:key, for a wiki without a message table."""
+    known = content.pages.select(F.col("title").alias("l_title"), F.col("content").alias("value"))
+    found = wanted.join(known, F.concat(F.lit("MediaWiki:"), "key") == F.col("l_title"), "left").drop("l_title")
+    return found.withColumn("value", F.coalesce("value", "key"))
+
+
 def fresh(rows: DataFrame, now: Column, ttl_seconds: int = TTL_SECONDS, fetched: str = "fetched_at") -> DataFrame:
     """Cached rows that are younger than the time to live; 0 keeps none."""
     return rows.where(F.unix_timestamp(now) - F.unix_timestamp(F.col(fetched).cast("timestamp")) < ttl_seconds)
