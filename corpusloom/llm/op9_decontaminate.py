@@ -8,7 +8,11 @@ benchmark join hashes of the documents; around each hit the aligned tokens are c
 of ``window`` aligned tokens (the whole item, if shorter) has at least ``share`` of them equal.
 
 The benchmark is dealt into blocks of bounded size; each block is broadcast once and held against
-all rows, so no text leaves its task and no pair is shuffled.
+all rows, so no text leaves its task and no pair is shuffled. A benchmark of up to BLOCK_BYTES, which
+is more than a hundred thousand questions, takes one pass over the corpus.
+
+Hits become alignments (item, shift) in steps of bounded size, and equal alignments are kept once, so
+a token that repeats in a text and in an item costs array work, not a row for each pair of places.
 
 Rows: null or empty texts and items with fewer than ``least`` tokens match nothing (one or two words
 would take out most of a corpus); repeated rows give repeated results only if their ids differ; rows
@@ -35,7 +39,8 @@ MASKS = ("11101011", "110100111")
 MASKS_SPAN, MASKS_ERRORS = 13, 2  # what MASKS cover
 LEAST_WEIGHT = 4  # tokens that a mask of a family hashes, where the length has as many
 WINDOW, SHARE, LEAST = 13, 0.8, 5
-BLOCK_BYTES = 8 << 20  # of benchmark text in one broadcast, on average
+BLOCK_BYTES = 32 << 20  # of benchmark text in one broadcast, on average; its seeds take about 10 times as much
+HITS_AT_ONCE = 1 << 20  # hits that are turned into alignments in one step
 _TABLE_BITS = 22
 _HASHES = WordHashes()
 _TOKEN = re.compile(r"\w+")
@@ -97,30 +102,39 @@ class SeedIndex:
             for mask in masks_for(need, need - least_equal(need, share)):
                 users.setdefault(mask, []).append(i)
         self.masks = sorted(users)
-        parts = []
-        for mask in self.masks:
-            for i in users[mask]:
-                h = _seed_hashes(self.tokens[i], mask)
-                parts.append(np.stack((h, np.full(len(h), i, np.uint64), np.arange(len(h), dtype=np.uint64))))
-        seeds = np.concatenate(parts, axis=1) if parts else np.empty((3, 0), np.uint64)
-        seeds = seeds[:, np.argsort(seeds[0], kind="stable")]
-        self.hash, self.item, self.at = seeds[0].copy(), seeds[1].astype(np.int64), seeds[2].astype(np.int64)
+        hashes = [_seed_hashes(self.tokens[i], mask) for mask in self.masks for i in users[mask]]
+        owners = [i for mask in self.masks for i in users[mask]]
+        self.hash = np.concatenate([np.empty(0, np.uint64), *hashes])
+        order = np.argsort(self.hash, kind="stable")
+        self.hash = self.hash[order]
+        self.item = np.repeat(np.array(owners, np.int32), [len(h) for h in hashes])[order]
+        self.at = np.concatenate([np.empty(0, np.int32), *(np.arange(len(h), dtype=np.int32) for h in hashes)])[order]
         self.seen = np.zeros(1 << _TABLE_BITS, bool)
         self.seen[self.hash >> np.uint64(64 - _TABLE_BITS)] = True
 
-    def overlaps(self, tokens: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(item_id, doc_start, item_start, n_tokens, n_equal) of the best overlap with each item."""
-        aligned = set()
+    def _aligned(self, tokens: np.ndarray) -> np.ndarray:
+        """Distinct (item << 32) + shift + 2**31 of all hits, in order."""
+        found = [np.empty(0, np.int64)]
         for mask in self.masks:
             h = _seed_hashes(tokens, mask)
             spots = np.flatnonzero(self.seen[h >> np.uint64(64 - _TABLE_BITS)])
             if not len(spots):
                 continue
             lo, hi = np.searchsorted(self.hash, h[spots], "left"), np.searchsorted(self.hash, h[spots], "right")
-            for p, a, b in zip(spots[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
-                aligned.update((i, p - q) for i, q in zip(self.item[a:b].tolist(), self.at[a:b].tolist()))
+            spots, lo, n = spots[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+            step = np.cumsum(n) // HITS_AT_ONCE
+            for own in (step == x for x in np.unique(step)):
+                many = n[own]
+                places = np.repeat(lo[own] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+                shifts = np.repeat(spots[own], many) - self.at[places]
+                found.append(np.unique((self.item[places].astype(np.int64) << 32) + shifts + (1 << 31)))
+        return np.unique(np.concatenate(found))
+
+    def overlaps(self, tokens: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(item_id, doc_start, item_start, n_tokens, n_equal) of the best overlap with each item."""
         best: dict[int, tuple[int, int, int, int]] = {}
-        for i, shift in sorted(aligned):
+        for key in self._aligned(tokens).tolist():
+            i, shift = key >> 32, (key & 0xFFFFFFFF) - (1 << 31)
             item = self.tokens[i]
             first, last = max(0, -shift), min(len(item), len(tokens) - shift)
             need = min(self.window, len(item))

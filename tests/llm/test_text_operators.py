@@ -4,6 +4,7 @@ import hashlib
 import html
 import itertools
 import re
+import time
 import zlib
 
 import numpy as np
@@ -234,6 +235,15 @@ def test_masks_of_other_windows(window, share):
         assert any(all(m[g] == "0" for g in gaps) for m in masks)
 
 
+def test_hot_seeds():
+    """A token that repeats in a text and in an item: each alignment is verified once."""
+    index = op9_decontaminate.SeedIndex([1, 2], ["same " * 1000, " ".join(f"q{i}" for i in range(30))], 13, 0.8, 5)
+    began = time.time()
+    assert [x[0] for x in index.overlaps(op9_decontaminate.tokens_of("same " * 10000 + " ".join(f"q{i}" for i in range(30))))] == [1, 2]
+    assert time.time() - began < 5
+    assert index.overlaps(op9_decontaminate.tokens_of("same " * 12)) == [] and index.overlaps(op9_decontaminate.tokens_of("")) == []
+
+
 def test_items_without_id(spark):
     bench = spark.createDataFrame([(None, "what is the capital of France"), (3, "who wrote the first long novel")], "item_id long, text string")
     docs = documents(spark, [(1, "so what is the capital of Spain then"), (2, "who wrote the first long novel"), (4, "nothing here of interest to anyone at all")])
