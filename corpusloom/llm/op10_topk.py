@@ -6,7 +6,9 @@ of a score is at most the product of the remaining lengths of both vectors, so c
 cannot reach the k-th best certain score are dropped and the survivors compacted. Each task returns
 its k best for each query; a window merges them.
 
-Queries are read in blocks of bounded size, each broadcast and held against all rows.
+Queries of up to BROADCAST_BYTES are broadcast and held against all rows in one pass. More of them
+make a grid: queries and candidates are dealt into blocks of up to BLOCK_BYTES, Spark brings each
+pair of blocks together, and each pair gives its k best; nothing is gathered by the driver.
 
 Rows: vectors that are null, empty, or hold null or non-finite parts, and rows with a null id take
 no part; a query meets only vectors of its own length; rows that share the query's id are its own;
@@ -24,9 +26,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
-DIMS, QUERIES_AT_ONCE, ROWS_AT_ONCE = 16, 2048, 8192
+DIMS, ROWS_AT_ONCE = 16, 8192
+BROADCAST_BYTES, BLOCK_BYTES = 32 << 20, 16 << 20  # of vectors as 64-bit numbers
+MOST_TASKS = 4096  # of the grid; more pairs of blocks share tasks
+_FOUND = "query_id long, vec_id long, score long"
 
 
 def whole_vectors(vectors: DataFrame) -> DataFrame:
@@ -83,35 +88,75 @@ def _merged(rows: list[tuple[int, int, int]], k: int) -> list[tuple[int, int, in
     return out
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+def _by_size(ids, vectors) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Ids and matrix of the vectors of each length, in order of id."""
+    groups: dict[int, list] = {}
+    for i, v in zip(ids, vectors):
+        groups.setdefault(len(v), []).append((i, v))
+    out = {}
+    for n, own in groups.items():
+        own.sort(key=lambda x: x[0])
+        out[n] = (np.array([i for i, _ in own], np.int64), np.stack([np.asarray(v, np.int64) for _, v in own]))
+    return out
+
+
+class _Search:
+    """The k best candidates of some queries among all rows that it is shown."""
+
+    def __init__(self, queries: dict[int, tuple[np.ndarray, np.ndarray]], k: int):
+        self.queries, self.k = queries, k
+        self.floors = {n: np.full(len(ids), -np.inf) for n, (ids, _) in queries.items()}
+        self.best: list[tuple[int, int, int]] = []
+
+    def show(self, rows: pd.DataFrame) -> None:
+        for n, (ids, x) in _by_size(rows["vec_id"], rows["v"]).items():
+            if n in self.queries:
+                for at in range(0, len(ids), ROWS_AT_ONCE):
+                    self.best += search_block(*self.queries[n], ids[at : at + ROWS_AT_ONCE], x[at : at + ROWS_AT_ONCE], self.k, self.floors[n])
+        self.best = _merged(self.best, self.k)
+
+    def found(self) -> pd.DataFrame:
+        return pd.DataFrame(self.best, columns=["query_id", "vec_id", "score"], dtype="int64")
+
+
+def _with_broadcast(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    own = asked.collect()  # no more than BROADCAST_BYTES, see top_k
+    shared = rows.sparkSession.sparkContext.broadcast(_by_size([r["vec_id"] for r in own], [r["v"] for r in own]))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        search = _Search(shared.value, k)
+        for part in batches:
+            search.show(part)
+        yield search.found()
+
+    return rows.mapInPandas(run, _FOUND)
+
+
+def _with_grid(rows: DataFrame, asked: DataFrame, k: int, block_bytes: int) -> DataFrame:
+    """Rows are dealt by number, not by id, so that rows that share an id spread over the blocks."""
+    dealt = written(rows.withColumn("nth", F.monotonically_increasing_id()), "vectors")
+    sizes = [df.agg(F.coalesce(F.sum(F.size("v") * 8), F.lit(0))).first()[0] for df in (dealt, asked)]
+    c_blocks, q_blocks = (max(1, math.ceil(size / block_bytes)) for size in sizes)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = dealt.select(F.pmod(F.xxhash64("nth"), F.lit(c_blocks)).alias("c"), every(q_blocks).alias("q"), "vec_id", "v")
+    right = asked.select(every(c_blocks).alias("c"), F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).alias("q"), "vec_id", "v")
+    tasks = min(MOST_TASKS, c_blocks * q_blocks)
+    left, right = (df.repartition(tasks, "c", "q") for df in (left, right))
+
+    def run(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        search = _Search(_by_size(queries["vec_id"], queries["v"]), k)
+        search.show(candidates)
+        return search.found()
+
+    return left.groupBy("c", "q").cogroup(right.groupBy("c", "q")).applyInPandas(run, _FOUND)
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, broadcast_bytes: int = BROADCAST_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of queries the k rows of vectors with the largest inner product."""
     rows = whole_vectors(vectors)
-    asked = whole_vectors(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
-    blocks = max(1, math.ceil(asked.count() / QUERIES_AT_ONCE))
-    found = None
-    for b in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()
-        by_size: dict[int, list] = {}
-        for r in part:
-            by_size.setdefault(len(r["v"]), []).append((r["vec_id"], r["v"]))
-        packed = {n: (np.array([i for i, _ in sorted(own)], np.int64), np.array([v for _, v in sorted(own)], np.int64)) for n, own in by_size.items()}
-        shared = vectors.sparkSession.sparkContext.broadcast(packed)
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            floors = {n: np.full(len(own[0]), -np.inf) for n, own in shared.value.items()}
-            best: list[tuple[int, int, int]] = []
-            for rows in batches:
-                sizes = rows["v"].map(len).to_numpy()
-                for n in set(sizes.tolist()) & set(floors):
-                    own = rows[sizes == n]
-                    ids, x = own["vec_id"].to_numpy(np.int64), np.stack(own["v"].to_numpy()).astype(np.int64)
-                    for at in range(0, len(ids), ROWS_AT_ONCE):
-                        best += search_block(*shared.value[n], ids[at : at + ROWS_AT_ONCE], x[at : at + ROWS_AT_ONCE], k, floors[n])
-                best = _merged(best, k)
-            yield pd.DataFrame(best, columns=["query_id", "vec_id", "score"], dtype="int64")
-
-        got = rows.mapInPandas(run, "query_id long, vec_id long, score long")
-        found = got if found is None else found.union(got)
+    asked = written(whole_vectors(queries).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+    size = asked.agg(F.coalesce(F.sum(F.size("v") * 8 + 8), F.lit(0))).first()[0]
+    found = _with_broadcast(rows, asked, k) if size <= broadcast_bytes else _with_grid(rows, asked, k, block_bytes)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -136,9 +136,13 @@ def plain_top(rows, k=5, every=50):
 
 
 def run_top(spark, rows, kind="float"):
-    table = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").withColumn("v", F.lit(1)).withColumn("rank", F.lit(2))
-    found = op10_topk.top_k(table, table.where("vec_id % 50 = 0"))
-    return sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found.collect())
+    """The rows found with a broadcast; a grid of small blocks must find the same."""
+    table = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").withColumn("v", F.lit(1)).withColumn("rank", F.lit(2)).withColumn("nth", F.lit(3))
+    asked = table.where("vec_id % 50 = 0")
+    found = [op10_topk.top_k(table, asked, **sizes).collect() for sizes in ({}, {"broadcast_bytes": 0, "block_bytes": 4096})]
+    ways = [sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows) for rows in found]
+    assert ways[0] == ways[1]
+    return ways[0]
 
 
 @pytest.mark.parametrize("dims", [1, 16, 17, 64])
