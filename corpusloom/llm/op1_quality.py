@@ -13,7 +13,7 @@ with the smallest xxhash64(doc_id), spread over all labels. Scoring runs in task
 Rows: null and empty texts have no features and get a score from the intercept; labels other than
 0 and 1 and null ids are not learnt from; an id with contradicting labels counts in both classes;
 with a class missing every score is the share of good labels (0.5 without labels). Other columns
-are never read.
+are never read and stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_name, table
 
 BITS = 17
 PER_CLASS = 2500
@@ -168,7 +168,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with one more double column, ``quality_score``."""
+    """docs with one more double column, quality_score or, where docs has that, free_name(docs, "quality_score")."""
     shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.squares.astype(np.float32), model.bias, model.slope, model.offset))
 
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -177,7 +177,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pd.Series([own.score(features(x, mark)) for x in texts], dtype="float64")
 
     scored = F.pandas_udf(scores, "double")
-    return docs.withColumn("quality_score", scored(F.col("text").cast("string")))
+    return docs.withColumn(free_name(docs, "quality_score"), scored(F.col("text").cast("string")))
 
 
 def op1_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ table depends on parameters only; it has exactly ``slots`` rows and is broadcast
 placed by one hash and one lookup.
 
 Rows: every row gets a shard, equal keys the same one; null keys share one slot; other columns stay
-as they are. A table that has a column named slot or shard already is refused with an error.
+as they are. Where the table has a column named slot or shard, the new one has an underscore more
+(free_name).
 """
 
 from __future__ import annotations
@@ -47,12 +48,10 @@ def lookup_table(names: list[str], slots: int = SLOTS) -> list[int]:
 
 
 def with_shard(docs: DataFrame, key: str = "doc_id", shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """docs with two more columns, slot and shard (int)."""
-    if {c.lower() for c in docs.columns} & {"slot", "shard"}:
-        raise ValueError("the table has a column named slot or shard already")
+    """docs with two more columns, slot and shard (int), under names that docs does not use."""
     owner = lookup_table([f"shard-{i:05d}" for i in range(shards)], slots)
-    probe = free_name(docs, "probe")
-    placed = docs.sparkSession.createDataFrame([(i, i, s) for i, s in enumerate(owner)], f"{probe} int, slot int, shard int")
+    probe, slot, shard = (free_name(docs, c) for c in ("probe", "slot", "shard"))
+    placed = docs.sparkSession.createDataFrame([(i, i, s) for i, s in enumerate(owner)], f"`{probe}` int, `{slot}` int, `{shard}` int")
     keyed = docs.withColumn(probe, F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(slots)).cast("int"))
     return keyed.join(F.broadcast(placed), probe).drop(probe)  # slots rows, whatever the data
 
@@ -61,7 +60,8 @@ def write_shards(docs: DataFrame, path: str, key: str = "doc_id", shards: int =
     """One folder of Parquet files for each shard; a shard's rows are dealt to ``splits`` tasks."""
     salt = free_name(docs, "salt")
     dealt = with_shard(docs, key, shards).withColumn(salt, F.pmod(F.hash(*docs.columns), F.lit(splits)))
-    dealt.repartition(shards * splits, "shard", salt).drop(salt, "slot").write.partitionBy("shard").parquet(path)
+    slot, shard = free_name(docs, "slot"), free_name(docs, "shard")
+    dealt.repartition(shards * splits, shard, salt).drop(salt, slot).write.partitionBy(shard).parquet(path)
 
 
 def op4_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,11 +31,11 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty, written
+from .common import free_name, table, text_or_empty, written
 
 DIMENSIONS = ("source", "lang", "topic")
 TARGETS: dict[str, float | dict[str, float]] = {"source": 0.5, "lang": {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}, "topic": 0.7}
-KEEP, TOLERANCE, ROUNDS, AT_ONCE = 0.5, 1e-9, 60, 4
+KEEP, TOLERANCE, STILL, ROUNDS, AT_ONCE = 0.5, 1e-9, 1e-12, 60, 4
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -59,16 +59,21 @@ def _chance(doc_id: Column, text: Column) -> Column:
     return F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+def _total(df: DataFrame, column: str) -> float:
+    """The sum of a column as one number; 1 for an empty table, whose shares nobody asks for."""
+    return float(df.agg(F.sum(column)).first()[0] or 1)
+
+
 def _with_target(cells: DataFrame, dim: str, target: float | dict[str, float]) -> DataFrame:
     """cells with the column t_<dim>: the share that the cell's category shall have."""
     own = cells.groupBy(dim).agg(F.sum("tokens").alias("own"))
-    share = F.col("own") / F.sum("own").over(Window.partitionBy())  # one row for each category
+    share = F.col("own") / F.lit(_total(own, "own"))
     if isinstance(target, dict):
         named = F.create_map(*chain.from_iterable((F.lit(k), F.lit(float(v))) for k, v in sorted(target.items())))
         own = own.withColumn("raw", F.coalesce(F.try_element_at(named, F.coalesce(dim, F.lit(""))), share))
     else:
         own = own.withColumn("raw", F.when(F.col("own") > 0, F.pow(share, F.lit(float(target)))).otherwise(0.0))
-    own = own.withColumn(f"t_{dim}", F.col("raw") / F.sum("raw").over(Window.partitionBy()))
+    own = own.withColumn(f"t_{dim}", F.col("raw") / F.lit(_total(own, "raw")))
     own = own.select(F.col(dim).alias("category"), f"t_{dim}")
     return cells.join(own, F.col(dim).eqNullSafe(F.col("category"))).drop("category")
 
@@ -81,7 +86,7 @@ def fitted_cells(cells: DataFrame, targets: dict, rounds: int = ROUNDS, toleranc
     cells = cells.where("tokens > 0")
     for dim in DIMENSIONS:
         cells = _with_target(cells, dim, targets[dim])
-    share = F.col("tokens") / F.sum("tokens").over(Window.partitionBy())
+    share = F.col("tokens") / F.lit(_total(cells, "tokens"))
     bound = F.lit(float("inf")) if keep is None else share / F.lit(float(keep))
     now = written(cells.withColumns({"u": share if keep is not None else F.col("tokens").cast("double"), "bound": bound}), "cells")
     w = F.least("u", "bound")
@@ -92,34 +97,35 @@ def fitted_cells(cells: DataFrame, targets: dict, rounds: int = ROUNDS, toleranc
         now = written(now, "cells")
         off = [now.groupBy(d).agg((F.sum(w) - F.first(f"t_{d}")).alias("off")) for d in DIMENSIONS]
         worst = off[0].union(off[1]).union(off[2]).agg(F.max(F.abs("off"))).first()[0]
-        moved = now.agg(F.max(F.abs(w - F.col("before")))).first()[0]
+        moved = now.agg(F.max(F.abs(w / F.col("before") - 1))).first()[0]  # each cell for itself, however small it is
         now = now.drop("before")
-        if worst is None or worst <= tolerance or moved <= tolerance:
+        if worst is None or worst <= tolerance or moved <= STILL:
             break
     return now.withColumn("w", w).drop("u", "bound")
 
 
 def mixed(docs: DataFrame, targets: dict | None = None, keep: float = KEEP, bounded: bool = True) -> DataFrame:
-    """docs with more columns: mix_topic, mix_tokens, mix_weight, mix_probability, mix_kept.
+    """docs with more columns: mix_topic, mix_tokens, mix_weight, mix_probability, mix_kept, each under
+    free_name(docs, its name), so that columns which docs has already stay as they are.
 
     mix_weight is the fitted weight of a word of the cell relative to its own: 1 leaves it as it is.
     Without ``bounded`` it may be above 1 / keep, and the clipped probability misses the targets.
     """
     targets = TARGETS | (targets or {})
     text = text_or_empty("text")
-    marked = docs.withColumns({"mix_topic": topic_of(text), "mix_tokens": n_words(text)})
-    keys = (F.col("source").alias("source"), F.col("lang").alias("lang"), F.col("mix_topic").alias("topic"))
-    cells = written(marked.groupBy(*keys).agg(F.sum("mix_tokens").alias("tokens")), "cells")
+    topic, tokens, weight, chance, kept = (free_name(docs, f"mix_{c}") for c in ("topic", "tokens", "weight", "probability", "kept"))
+    marked = docs.withColumns({topic: topic_of(text), tokens: n_words(text)})
+    keys = (F.col("source").alias("source"), F.col("lang").alias("lang"), F.col(topic).alias("topic"))
+    cells = written(marked.groupBy(*keys).agg(F.sum(tokens).alias("tokens")), "cells")
     fitted = fitted_cells(cells, targets, ROUNDS, TOLERANCE, keep if bounded else None)
-    ratio = fitted.select(
-        F.col("source").alias("c_source"), F.col("lang").alias("c_lang"), F.col("topic").alias("c_topic"),
-        (F.col("w") * F.sum("tokens").over(Window.partitionBy()) / F.col("tokens")).alias("mix_weight"),
-    )
-    on = marked["source"].eqNullSafe(F.col("c_source")) & marked["lang"].eqNullSafe(F.col("c_lang")) & (F.col("mix_topic") == F.col("c_topic"))
-    out = marked.join(written(ratio, "ratios"), on, "left").drop("c_source", "c_lang", "c_topic")
-    out = out.withColumn("mix_weight", F.coalesce("mix_weight", F.lit(1.0)))
-    out = out.withColumn("mix_probability", F.least(F.lit(1.0), F.lit(float(keep)) * F.col("mix_weight")))
-    return out.withColumn("mix_kept", _chance(F.col("doc_id"), text_or_empty("text")) < F.col("mix_probability"))
+    names = [free_name(marked, f"c_{c}") for c in DIMENSIONS]
+    found = (F.col("w") * F.lit(_total(fitted, "tokens")) / F.col("tokens")).alias(weight)
+    ratio = written(fitted.select(*(F.col(c).alias(n) for c, n in zip(DIMENSIONS, names)), found), "ratios")
+    on = F.col("source").eqNullSafe(F.col(names[0])) & F.col("lang").eqNullSafe(F.col(names[1])) & (F.col(topic) == F.col(names[2]))
+    out = marked.join(ratio, on, "left").drop(*names)
+    out = out.withColumn(weight, F.coalesce(weight, F.lit(1.0)))
+    out = out.withColumn(chance, F.least(F.lit(1.0), F.lit(float(keep)) * F.col(weight)))
+    return out.withColumn(kept, _chance(F.col("doc_id"), text_or_empty("text")) < F.col(chance))
 
 
 def _mixing(spark: SparkSession, sf_dir: str, bounded: bool) -> DataFrame:
@@ -144,10 +150,11 @@ def _target_sql(dim: str, target: float | dict[str, float]) -> str:
     return f"select {dim} as category, raw / sum(raw) over () as t from (select *, {raw} as raw from (select {dim}, sum(tokens)::double as own from cells where tokens > 0 group by {dim}))"
 
 
-def _oracle_sql() -> str:
-    steps = "select source, lang, topic, tokens, t_source, t_lang, t_topic, w, i from fit"
+def _oracle_sql(bounded: bool) -> str:
+    w, begin = ("least(w, bound)", "tokens / sum(tokens) over ()") if bounded else ("w", "tokens::double")
+    steps = "select source, lang, topic, tokens, t_source, t_lang, t_topic, bound, w, i from fit"
     for dim in DIMENSIONS:
-        steps = f"select * replace (w * t_{dim} / sum(w) over (partition by {dim}) as w) from ({steps})"
+        steps = f"select * replace (w * t_{dim} / sum({w}) over (partition by {dim}) as w) from ({steps})"
     return f"""
 with recursive d as (
   select doc_id, source, lang, coalesce(text, '') as x from documents
@@ -159,7 +166,7 @@ with recursive d as (
 ), cells as (
   select source, lang, topic, sum(tokens)::bigint as tokens from marked group by all
 ), begun as (
-  select c.*, s.t as t_source, l.t as t_lang, p.t as t_topic, tokens::double as w
+  select c.*, s.t as t_source, l.t as t_lang, p.t as t_topic, tokens / sum(tokens) over () / {KEEP} as bound, {begin} as w
   from cells c join ({_target_sql("source", TARGETS["source"])}) s on c.source is not distinct from s.category
   join ({_target_sql("lang", TARGETS["lang"])}) l on c.lang is not distinct from l.category
   join ({_target_sql("topic", TARGETS["topic"])}) p on c.topic is not distinct from p.category where tokens > 0
@@ -168,7 +175,7 @@ with recursive d as (
   union all
   select * replace (i + 1 as i) from ({steps}) where i < {ROUNDS}
 ), ratio as (
-  select source, lang, topic, w * sum(tokens) over () / tokens as weight from fit where i = {ROUNDS}
+  select source, lang, topic, {w} * sum(tokens) over () / tokens as weight from fit where i = {ROUNDS}
 ), joined as (
   select m.doc_id, m.x, m.topic, m.tokens, coalesce(r.weight, 1.0) as weight, least(1.0, {KEEP} * coalesce(r.weight, 1.0)) as probability
   from marked m left join ratio r on m.source is not distinct from r.source and m.lang is not distinct from r.lang and m.topic = r.topic
@@ -179,4 +186,4 @@ from joined
 """
 
 
-SQL = _oracle_sql()
+SQL, BOUNDED_SQL = _oracle_sql(False), _oracle_sql(True)

@@ -6,7 +6,8 @@ longest first: a rule fits its host and all subdomains when the path starts with
 
 Rows: a null url or one without :// has empty host and path, fits no rule and gets the verdict that
 the model's intercept gives; empty hosts and paths alike; repeated rows give repeated results; other
-columns stay as they are.
+columns stay as they are: where pages has a column of one of the new names, the new one has an
+underscore more (free_name).
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_name, table
 
 BITS = 15
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
@@ -92,7 +93,7 @@ def labelled() -> list[tuple[str, str, int]]:
 
 
 def judged(pages: DataFrame, examples: list[tuple[str, str, int]] | None = None, rules=RULES, bound: float = 0.5) -> DataFrame:
-    """pages with host, path, rule, block_probability and verdict."""
+    """pages with host, path, rule, block_probability and verdict, under names that pages does not use."""
     shared = pages.sparkSession.sparkContext.broadcast(fit(examples or labelled()))
 
     def chances(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -104,10 +105,11 @@ def judged(pages: DataFrame, examples: list[tuple[str, str, int]] | None = None,
                 out.append(float(1 / (1 + np.exp(-np.clip(w[own].sum() / np.sqrt(max(1, len(own))) + b, -30, 30)))))
             yield pd.Series(out, dtype="float64")
 
-    rule, says = rule_of(F.col("host"), F.col("path"), rules)
-    out = pages.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    out = out.withColumn("block_probability", F.pandas_udf(chances, "double")("host", "path")).withColumn("rule", rule)
-    return out.withColumn("verdict", F.coalesce(says, F.when(F.col("block_probability") >= bound, "block").otherwise("allow")))
+    host, path, rule, chance, verdict = (free_name(pages, c) for c in ("host", "path", "rule", "block_probability", "verdict"))
+    fits, says = rule_of(F.col(host), F.col(path), rules)
+    out = pages.withColumns({host: host_of(F.col("url")), path: path_of(F.col("url"))})
+    out = out.withColumn(chance, F.pandas_udf(chances, "double")(host, path)).withColumn(rule, fits)
+    return out.withColumn(verdict, F.coalesce(says, F.when(F.col(chance) >= bound, "block").otherwise("allow")))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_name, table
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|select|button)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -206,13 +206,13 @@ def main_text(page: str | None) -> str:
 
 
 def with_main_text(pages: DataFrame) -> DataFrame:
-    """pages with one more column, main_text."""
+    """pages with one more column, main_text or, where pages has that, free_name(pages, "main_text")."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for rows in batches:
             yield rows.map(main_text)
 
-    return pages.withColumn("main_text", F.pandas_udf(run, "string")(F.col("html").cast("string")))
+    return pages.withColumn(free_name(pages, "main_text"), F.pandas_udf(run, "string")(F.col("html").cast("string")))
 
 
 def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

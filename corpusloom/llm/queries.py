@@ -32,5 +32,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op5_source_mixing": op5_mixing.SQL,
+    "op5_bounded_mixing": op5_mixing.BOUNDED_SQL,
     "op10_exact_topk": op10_topk.SQL,
 }

@@ -62,8 +62,8 @@ def test_placement(spark, tmp_path):
             assert r["slot"] == h % op4_sharding.SLOTS and r["shard"] == owner[r["slot"]]
     op4_sharding.write_shards(docs, str(tmp_path / "out"), splits=2)
     assert spark.read.parquet(str(tmp_path / "out")).groupBy("shard").count().collect() and spark.read.parquet(str(tmp_path / "out")).count() == 13
-    with pytest.raises(ValueError):
-        op4_sharding.with_shard(docs.withColumn("Shard", F.lit(1)))
+    again = op4_sharding.with_shard(docs.withColumn("Shard", F.lit(-1))).collect()
+    assert sorted(r["_shard"] for r in again) == sorted(r["shard"] for r in rows) and {r["Shard"] for r in again} == {-1}
 
 
 # ---------------------------------------------------------------- 5 mixing
