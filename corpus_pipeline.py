@@ -20,7 +20,7 @@ from corpusloom.llm.op9_decontaminate import clean_rows
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects."""
     model = learn(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model).where(F.col("quality_score") >= THRESHOLD).select(*docs.columns)
+    return score(docs, model).where(F.col(free_name(docs, "quality_score")) >= THRESHOLD).select(*docs.columns)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +43,9 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     def chosen(rows: DataFrame, keys: DataFrame) -> DataFrame:
         """The rows whose id and digest are among keys, one row of each; of blank texts one of each text."""
         rows = rows.withColumn(mark, digest_of(F.col("text"), 5))
-        keys = keys.select(F.col("doc_id").alias("k_id"), F.coalesce("d1", F.lit(0)).alias("k1"), F.coalesce("d2", F.lit(0)).alias("k2")).distinct()
-        on = F.col("doc_id").eqNullSafe(F.col("k_id")) & (held[0] == F.col("k1")) & (held[1] == F.col("k2"))
+        names = [free_name(rows, f"key_{c}") for c in ("doc_id", "d1", "d2")]
+        keys = keys.select(F.col("doc_id").alias(names[0]), F.coalesce("d1", F.lit(0)).alias(names[1]), F.coalesce("d2", F.lit(0)).alias(names[2])).distinct()
+        on = F.col("doc_id").eqNullSafe(F.col(names[0])) & (held[0] == F.col(names[1])) & (held[1] == F.col(names[2]))
         rows = rows.join(keys, on, "left_semi")
         one = free_name(rows, "one")
         return rows.withColumn(one, F.when(blank, F.col("text"))).dropDuplicates(["doc_id", mark, one]).select(*docs.columns)
@@ -68,12 +69,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Samples documents so that sources, languages and topics come near their target weights."""
-    return mixed(docs).where("mix_kept").select(*docs.columns)
+    return mixed(docs).where(F.col(free_name(docs, "mix_kept"))).select(*docs.columns)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds the number of the shard that each document belongs to."""
-    return with_shard(docs).drop("slot")
+    return with_shard(docs).drop(free_name(docs, "slot"))
 
 
 STAGES = [
