@@ -3,9 +3,11 @@
 import hashlib
 import html
 import itertools
+import math
 import re
 import time
 import zlib
+from xml.etree import ElementTree
 
 import numpy as np
 import pytest
@@ -189,9 +191,96 @@ def test_html_cases(page, text):
     assert op8_html.main_text(page) == text
 
 
+LONG_P = P * 4
+MENU = "".join(f"<li><a href='/{i}'>A place to go {i}</a>" for i in range(8))
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        # wrappers whose names speak of something else
+        (f"<body><div class='site no-sidebar'><div class='content has-sidebar'><h1>T</h1><p>{P}</p><p>{P}</p></div><div class=sidebar><p>{LONG_P}</p></div></div>", f"T\n{P}\n{P}"),
+        (f"<div class='widget page'><main><h1>T</h1><p>{P}</p><p>{P}</p></main></div>", f"T\n{P}\n{P}"),
+        # one box around everything: what stands beside the path has to reach the threshold
+        (f"<body><div id=all><div><ul>{MENU}</ul></div><div id=text><h1>T</h1><p>{P}</p><p>{P}</p><ul><li>one<li>two</ul></div></div>", f"T\n{P}\n{P}\none\ntwo"),
+        # sections beside the core, short ones too
+        (f"<main><h1>T</h1><section><h2>A</h2><p>{LONG_P}</p><p>{P}</p></section><section><h2>B</h2><p>short</p></section><div><ul>{MENU}</ul></div></main>", f"T\nA\n{LONG_P}\n{P}\nB\nshort"),
+        # words that article parts bear too, and self-closed pictures
+        (f"<article><h1>T</h1><p>{P}</p><div class='related-work'><p>{LONG_P}</p></div><svg/><div class=share><a href=x>Share</a></div><p>{P}</p></article>", f"T\n{P}\n{LONG_P}\n{P}"),
+        # text of the body itself
+        (f"before <div><p>{P}</p><p>{P}</p></div> after", f"before\n{P}\n{P}\nafter"),
+        (f"<article>{f'<p>{P}</p>' * 9}</article><article><p>{LONG_P}</p></article> stray <div>A bare notice that is long enough to be dense, but no part of any article at all.</div>", "\n".join([P] * 9 + [LONG_P])),
+    ],
+)
+def test_html_selection(page, text):
+    assert op8_html.main_text(page) == text
+
+
+@pytest.mark.parametrize("page", ["<a " * 16000, "<div>" * 20000 + "x", "<b>" * 20000 + "<p>x" * 20000, '<a "' * 16000, "<p>x" * 30000, "<ul><li>" * 10000, "<i>" + "<b>" * 20000 + "</i>" * 20000, "<!--" * 20000, "<script" * 20000])
+def test_html_work_grows_with_length(page):
+    began = time.time()
+    op8_html.main_text(page)
+    assert time.time() - began < 5
+
+
+def plain_core(page):
+    """Densities of a well-formed page by the formula, node by node: the core's path of places and the threshold."""
+    body = ElementTree.fromstring(page)
+    under = lambda n: [x for x in n.iter() if x is not n]
+    own = lambda n: "".join(n.itertext())
+    pieces = lambda n: [t for x in n.iter() for t in ([x.text] + [c.tail for c in x]) if t]
+    chars = lambda n: sum(len(re.sub(r"\s+", " ", t).strip()) for t in pieces(n))
+    links = lambda n: [x for x in n.iter("a")]
+    share = sum(chars(a) for a in links(body)) / max(1, chars(body))
+
+    def density(n):
+        c, t = chars(n), max(1, len(under(n)))
+        lc, lt = sum(chars(a) for a in links(n)), max(1, len(links(n)))
+        if not c:
+            return 0.0
+        base = math.log(max(math.log(c / max(1, c - lc) * lc + share * c + math.e), 1 + 1e-9))
+        return c / t * math.log(max(1.0, c / max(1, lc) * t / lt)) / max(base, 1.0)
+
+    parent = {c: n for n in body.iter() for c in n}
+    boxes = [n for n in body.iter() if n.tag in ("body", "div", "section") and own(n).strip()]
+    core = max(boxes, key=lambda n: sum(map(density, n)))
+    path = [core]
+    while path[-1] is not body:
+        path.append(parent[path[-1]])
+    return [list(up).index(down) for down, up in zip(path, path[1:])][::-1], min(map(density, path))
+
+
+def test_html_core_against_the_formula():
+    rng = np.random.default_rng(3)
+    words = lambda n: " ".join("word%d" % x for x in rng.integers(100, size=n))
+
+    def box(depth):
+        parts = []
+        for _ in range(rng.integers(1, 5)):
+            kind = rng.integers(4) if depth else rng.integers(3)
+            parts.append([f"<p>{words(rng.integers(1, 40))}</p>", f"<p><a>{words(3)}</a> {words(2)}</p>", f"<p>{words(8)} <b>{words(1)}</b></p>", ""][kind] or box(depth - 1))
+        return "<div>" + "".join(parts) + "</div>"
+
+    for _ in range(60):
+        page = f"<body>{box(3)}{box(2)}</body>"
+        want, bound = plain_core(page)
+        body = next(x for x in op8_html.parse(page).items if x.tag == "body")
+        path, got = op8_html.core_of(body)
+        assert got == pytest.approx(bound)
+        assert [[x for x in up.items if isinstance(x, op8_html.Node)].index(down) for down, up in zip(path, path[1:])][::-1] == want
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, None, None, "a"), (2, "u", f"<article><p>{P * 4000}</article>", "b"), (2, "u", "<", "b")], "page_id long, url string, html string, text string")
     assert [len(r["main_text"]) for r in op8_html.with_main_text(pages).collect()] == [0, len(P) * 4000, 1]
+    assert op8_html.with_main_text(pages.limit(0)).collect() == []
+
+
+def test_html_of_pages_without_articles(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    renamed = pages.withColumn("html", F.regexp_replace("html", "<(/?)article>", "<$1div>"))
+    texts = [{r["page_id"]: r["main_text"] for r in op8_html.with_main_text(p).collect()} for p in (pages, renamed)]
+    assert texts[0] == texts[1]
 
 
 # ---------------------------------------------------------------- 9 decontamination
