@@ -50,7 +50,7 @@ def test_results_beside_them(spark, docs):
 
 def test_results_without_them(spark, docs):
     assert len(op2_minhash.near_duplicates(docs).collect()) == len(TEXTS)
-    assert op3_secrets.with_spans(docs.select("doc_id", "text"), [0.0] * 65 * 65).count() == len(TEXTS)
+    assert op3_secrets.with_spans(docs.select("doc_id", "text"), [0.0] * 66 * 66).count() == len(TEXTS)
     shards = op6_tables.write_tables(docs, new_folder(spark, "tokens"), pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json"))
     assert op6_tables.read_tables(shards).count() == len(TEXTS)
     bench = crowded(spark.createDataFrame([(1, TEXTS[0])], "item_id long, text string"))
