@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import remove, written
 
+BROADCAST_EDGES = 500_000  # there are at most twice as many minima as edges
+
 
 def _fingerprint(df: DataFrame) -> tuple:
     return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
@@ -23,11 +25,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     e = written(e, "edges")
     seen = _fingerprint(e)
     while True:
+        side = F.broadcast if seen[0] <= BROADCAST_EDGES else (lambda df: df)
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(side(low), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(side(least), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         remove(e)
         e, before = after, seen

@@ -9,7 +9,8 @@
 4. Components of these links are found. Where a bucket still holds several components, its members
    are checked against each other in blocks: every pair of different components whose sizes and
    sketches allow the similarity is confirmed on full sets. Nothing is capped: large buckets are
-   dealt out as pairs of blocks, each a bounded piece of work.
+   dealt out as pairs of blocks, and what has to be confirmed is dealt again by the bytes of its
+   sets, so each unit of work is bounded in rows and in bytes.
 5. Components of all links give the result.
 
 A pair of similarity 0.8 is missed by all 32 bands of 5 rows with probability 3e-6, and by the
@@ -28,10 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_side, table, written
+from .common import joined, small_side, table, written
 from .components import connected_components
 from .shingles import WordHashes, shingle_set, words_of
 from .sketch import Sketcher
@@ -39,8 +40,9 @@ from .sketch import Sketcher
 BANDS, ROWS = 32, 5
 SKETCH_BOUND = 0.64  # least share of agreeing coordinates; 5 standard deviations under 0.8
 BLOCK = 2048  # members of a bucket in one block
-SPLITS = 256  # of the members that are checked against one pivot
-PACK_BYTES = 8 << 20  # of sketches or sets that one group of checks holds, on average
+SPLITS = 256  # least number of parts of the members that are checked against one pivot
+SKETCH_PACK, SET_PACK = 2 << 20, 8 << 20  # bytes of sketches and of sets that one group of checks holds, on average
+MOST_TASKS = 4096
 _HASHES = WordHashes()
 
 
@@ -80,16 +82,12 @@ def _sketched(k: int):
 
 
 def _sets(k: int):
-    """The sets of the rows (rep, d1, d2, text) whose text is of that digest; an id may have other texts."""
+    """The digest and the set of each text that has one."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            out = []
-            for rep, d1, d2, text in zip(rows["rep"], rows["d1"], rows["d2"], rows["text"]):
-                s = shingle_set(words_of(text), k, _HASHES)
-                if len(s) and _digest(s) == (d1, d2):
-                    out.append((rep, s.tobytes()))
-            yield pd.DataFrame(out, columns=["rep", "shingles"]).astype({"rep": "int64"})
+            sets = (shingle_set(words_of(text), k, _HASHES) for text in rows["text"])
+            yield pd.DataFrame([(*_digest(s), s.tobytes()) for s in sets if len(s)], columns=["d1", "d2", "shingles"]).astype({"d1": "int64", "d2": "int64"})
 
     return run
 
@@ -114,14 +112,16 @@ class _Forest(dict):
 def _fitting(unit: pd.DataFrame, percent: int) -> Iterator[tuple[int, np.ndarray]]:
     """For members of a unit the later ones that may be linked: other component, sizes and sketches fit.
 
-    A unit of side 0 alone is held against itself, else side 0 against side 1. Within buckets
-    (band >= 0) a pair counts in the first band that both share.
+    Members of side 0 are held against each other, side 1 against side 2; in a unit of two parts only
+    members of different parts. Within buckets (band >= 0) a pair counts in the first band that both share.
     """
-    comps, side, sizes = (unit[c].to_numpy() for c in ("comp", "side", "n"))
+    comps, side, sizes, part = (unit[c].to_numpy() for c in ("comp", "side", "n", "part"))
     coords = np.frombuffer(b"".join(unit["sketch"]), "<u2").reshape(len(unit), BANDS * ROWS)
-    band, crossed = int(unit["band"].iat[0]), bool((side > 0).any())
-    for i in np.flatnonzero(side == 0):
-        later = side > 0 if crossed else np.arange(len(unit)) > i
+    band, places, two = int(unit["band"].iat[0]), np.arange(len(unit)), bool((part != part[0]).any())
+    for i in np.flatnonzero(side < 2):
+        later = side == 2 if side[i] else places > i
+        if two:
+            later = later & (part != part[i])
         fits = later & (comps != comps[i]) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
         others = np.flatnonzero(fits)
         if len(others):
@@ -167,31 +167,47 @@ def _confirmed(percent: int):
     return run
 
 
-def _packed(units: DataFrame, row_bytes: float) -> DataFrame:
-    """units with a column pack, so that the units of one pack hold a bounded amount of bytes on average."""
-    packs = max(1, math.ceil(units.count() * row_bytes / PACK_BYTES))
-    return units.withColumn("pack", F.pmod(F.xxhash64("unit"), F.lit(packs)))
+def _packs(units: DataFrame, size: Column, pack_bytes: int) -> int:
+    return max(1, math.ceil((units.agg(F.sum(size)).first()[0] or 0) / pack_bytes))
+
+
+def _by_pack(rows: DataFrame, packs: int):
+    """rows grouped by pack, over as many tasks as there are packs; a given number is not coalesced."""
+    return rows.repartition(min(MOST_TASKS, packs), "pack").groupBy("pack")
 
 
 def _fitting_units(units: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """The rows (unit, side, band, rep, comp) that have a partner to be confirmed, with n and sketch."""
-    light = _packed(units, 2 * BANDS * ROWS).join(sketches, "rep")
-    fitting = light.groupBy("pack").applyInPandas(_fitting_members(percent), "unit long, side int, band int, rep long, comp long, n long, sketch binary")
+    packs = _packs(units, F.lit(2 * BANDS * ROWS), SKETCH_PACK)
+    light = units.withColumn("pack", F.pmod(F.xxhash64("unit"), F.lit(packs))).withColumn("part", F.lit(0)).join(sketches, "rep")
+    fitting = _by_pack(light, packs).applyInPandas(_fitting_members(percent), "unit long, side int, band int, rep long, comp long, n long, sketch binary")
     return written(fitting, "fitting")
 
 
+def _in_parts(units: DataFrame, most: int) -> DataFrame:
+    """units whose sets have more than ``most`` bytes as units of two parts, every pair of parts once."""
+    bytes_of_unit = F.sum(8 * F.col("n")).over(Window.partitionBy("unit"))
+    dealt = units.withColumn("parts", F.greatest(F.ceil(2 * bytes_of_unit / most), F.lit(1)).cast("int"))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    unit = F.when(F.col("parts") > 1, F.xxhash64("unit", F.least("part", "other"), F.greatest("part", "other"))).otherwise(F.col("unit"))
+    return dealt.withColumn("unit", unit).drop("parts", "other")
+
+
 def _links(units: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Links found among the rows of _fitting_units, on full shingle sets of their texts (doc_id, text)."""
     needed = written(classes.select("rep", "doc_id", "d1", "d2").join(units.select("rep").distinct(), "rep", "left_semi"), "needed")
-    found = texts.join(small_side(needed.where("doc_id is not null")), "doc_id").select("rep", "d1", "d2", "text")
-    nameless = needed.where("doc_id is null")
-    if not nameless.isEmpty():
-        own = texts.where("doc_id is null").withColumn("d", digest_of(F.col("text"), k)).select("text", "d.d1", "d.d2")
-        found = found.union(own.join(small_side(nameless), ["d1", "d2"]).select("rep", "d1", "d2", "text"))
-    sets = found.mapInPandas(_sets(k), "rep long, shingles binary").dropDuplicates(["rep"])
-    mean = 8 * (units.agg(F.avg("n")).first()[0] or 0)
-    full = _packed(units, mean + 2 * BANDS * ROWS).join(sets, "rep")
-    return written(full.groupBy("pack").applyInPandas(_confirmed(percent), "u long, v long"), "links")
+    ids = written(needed.where("doc_id is not null").select("doc_id").distinct(), "ids")
+    found = texts.join(small_side(ids), "doc_id", "left_semi")
+    if not needed.where("doc_id is null").isEmpty():
+        found = found.union(texts.where("doc_id is null"))
+    sets = found.select("text").mapInPandas(_sets(k), "d1 long, d2 long, shingles binary")
+    sets = sets.join(small_side(needed.select("rep", "d1", "d2")), ["d1", "d2"]).select("rep", "shingles").dropDuplicates(["rep"])
+    parts, size = written(_in_parts(units, SET_PACK), "parts"), 8 * F.col("n") + 2 * BANDS * ROWS
+    packs = _packs(parts, size, SET_PACK)
+    large = F.sum(size).over(Window.partitionBy("unit")) > SET_PACK / 2  # such a unit is a pack of its own
+    full = parts.withColumn("pack", F.when(large, F.xxhash64("unit")).otherwise(F.pmod(F.xxhash64("unit"), F.lit(packs)))).join(sets, "rep")
+    return written(_by_pack(full, 2 * packs).applyInPandas(_confirmed(percent), "u long, v long"), "links")
 
 
 def decided(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -221,16 +237,17 @@ def decided(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     )
     buckets = written(buckets.select("key", "cnt", "lo", "hi"), "buckets")
     crowded = buckets.where("cnt > 2").select("key", "cnt", "lo")
-    members = written(keyed.join(small_side(crowded), "key"), "members")
+    members = written(joined(keyed, crowded, "key", "rep"), "members")
 
     star = members.where("rep != lo").select("lo", "rep").union(buckets.where("cnt = 2").select("lo", F.col("hi").alias("rep"))).distinct()
     star = written(star, "star")
     active = small_side(written(star.select("rep").union(star.select("lo")).distinct(), "active"))
     sketches = written(classes.select("rep", "n", "sketch").join(active, "rep", "left_semi"), "sketches")
 
-    dealt = star.withColumn("unit", F.xxhash64("lo", F.pmod(F.xxhash64("rep"), F.lit(SPLITS))))
-    units = dealt.select("unit", F.lit(1).alias("side"), F.lit(-1).alias("band"), "rep", F.col("rep").alias("comp")).union(
-        dealt.select("unit", "lo").distinct().select("unit", F.lit(0), F.lit(-1), "lo", "lo")
+    widest = star.groupBy("lo").agg(F.count(F.lit(1)).alias("cnt")).agg(F.max("cnt")).first()[0] or 0
+    dealt = star.withColumn("unit", F.xxhash64("lo", F.pmod(F.xxhash64("rep"), F.lit(max(SPLITS, math.ceil(widest / BLOCK))))))
+    units = dealt.select("unit", F.lit(2).alias("side"), F.lit(-1).alias("band"), "rep", F.col("rep").alias("comp")).union(
+        dealt.select("unit", "lo").distinct().select("unit", F.lit(1), F.lit(-1), "lo", "lo")
     )
     links = _links(_fitting_units(units, sketches, percent), classes, docs, k, percent)
     comps = connected_components(links)
@@ -239,11 +256,11 @@ def decided(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         members.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
         .select("key", "band", "cnt", "rep", F.coalesce("component", "rep").alias("comp")), "labelled",
     )
-    torn = labelled.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a != b").select("key")
+    torn = written(labelled.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a != b").select("key"), "torn")
     blocks = F.ceil(F.col("cnt") / BLOCK).cast("int")
-    left = labelled.join(torn, "key").select("key", "band", "rep", "comp", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("own"))
+    left = joined(labelled, torn, "key", "rep").select("key", "band", "rep", "comp", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("own"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = F.when(F.col("own") <= F.col("other"), 0).otherwise(1)
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
     units = left.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), side.alias("side"), "band", "rep", "comp")
     more = _links(_fitting_units(units, sketches, percent), classes, docs, k, percent)
 

@@ -5,6 +5,7 @@ import itertools
 import numpy as np
 import pytest
 
+from corpusloom.llm import common, components, op2_minhash
 from corpusloom.llm.components import connected_components
 from corpusloom.llm.op2_minhash import BANDS, ROWS, near_duplicates
 from corpusloom.llm.shingles import WordHashes, shingle_set, words_of
@@ -69,6 +70,29 @@ def test_chains_and_crowds(spark):
     assert got == want
 
 
+def test_bounded_pieces_of_work(spark, monkeypatch):
+    """Small blocks, parts and packs, and shuffled joins, give the same components."""
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(i, " ".join(w if rng.random() > 0.02 * (i % 9) else f"z{rng.integers(10**6)}" for w in base)) for i in range(150)]
+    want = plain_components(rows, 2)
+    for name, value in (("BLOCK", 16), ("SPLITS", 3), ("SKETCH_PACK", 4000), ("SET_PACK", 6000)):
+        monkeypatch.setattr(op2_minhash, name, value)
+    monkeypatch.setattr(common.joined, "__defaults__", (4, 0))
+    monkeypatch.setattr(components, "BROADCAST_EDGES", 0)
+    assert {r["doc_id"]: r["component_id"] for r in near_duplicates(documents(spark, rows), k=2).collect()} == want
+
+
+def test_an_id_of_many_texts(spark):
+    """A third of the rows share an id, others have none; each text belongs to its own component."""
+    text = lambda i, end="": " ".join(f"t{i}_{j}" for j in range(60)) + end
+    rows = [(5, text(i)) for i in range(20)] + [(100 + i, text(i, " end")) for i in range(20)] + [(None, text(i, " last")) for i in range(20)]
+    got = near_duplicates(documents(spark, rows), k=2).collect()
+    assert all(r["component_id"] == 5 and r["kept"] == (r["doc_id"] == 5) for r in got if r["doc_id"] is not None)
+    rows = [(5, text(0)), (5, text(1)), (6, text(0, " q")), (7, text(1, " q")), (8, text(0, " r"))]
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates(documents(spark, rows), k=2).collect()) == [(5, 5, True), (5, 5, True), (6, 5, False), (7, 5, False), (8, 5, False)]
+
+
 def test_sample_against_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
