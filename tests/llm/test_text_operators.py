@@ -13,6 +13,7 @@ from xml.etree import ElementTree
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from corpusloom.llm import op1_quality, op3_secrets, op6_tables, op7_urls, op8_html, op9_decontaminate
@@ -52,6 +53,65 @@ def test_quality_awkward(spark):
     assert op1_quality.score(empty(spark), op1_quality.learn(empty(spark), labels)).collect() == []
 
 
+def plain_buckets(text):
+    """Byte n-grams one by one: 2 to 4 bytes as they are, 3 to 5 with letters and digits folded."""
+    fold = lambda b: ord("a") if 97 <= b <= 122 or b > 127 else ord("A") if 65 <= b <= 90 else ord("0") if 48 <= b <= 57 else b
+    raw, out = list(text.encode()), set()
+    for codes, sizes, salt in ((raw, (2, 3, 4), 1), ([fold(b) for b in raw], (3, 4, 5), 2)):
+        for n in sizes:
+            for i in range(len(codes) - n + 1):
+                h = salt
+                for j in range(n):
+                    h = ((h ^ codes[i + j]) * (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)[j]) & 0xFFFFFFFF
+                    h ^= h >> 15
+                out.add(h % (1 << 17))
+    return out
+
+
+def plain_margins(rows, y, texts, rounds=30):
+    """Log-count ratios and dual coordinate descent over dictionaries."""
+    counts = [{}, {}]
+    for own, side in zip(rows, y):
+        for g in own:
+            counts[int(side > 0)][g] = counts[int(side > 0)].get(g, 0) + 1
+    totals = [(1 << 17) + sum(c.values()) for c in counts]
+    ratio = lambda g: math.log((counts[1].get(g, 0) + 1) / totals[1]) - math.log((counts[0].get(g, 0) + 1) / totals[0])
+
+    def vector(own):
+        v = {g: ratio(g) for g in own}
+        length = math.sqrt(sum(x * x for x in v.values()))
+        return {g: x / length for g, x in v.items()}
+
+    vectors, w, bias, alpha, order = [vector(own) for own in rows], {}, 0.0, [0.0] * len(rows), np.random.default_rng(7)
+    for _ in range(rounds):
+        worst = 0.0
+        for i in order.permutation(len(rows)):
+            gradient = y[i] * (sum(w.get(g, 0.0) * x for g, x in vectors[i].items()) + bias) - 1
+            new = min(max(alpha[i] - gradient / (sum(x * x for x in vectors[i].values()) + 1), 0.0), 1.0)
+            step = (new - alpha[i]) * y[i]
+            for g, x in vectors[i].items():
+                w[g] = w.get(g, 0.0) + step * x
+            bias, alpha[i], worst = bias + step, new, max(worst, abs(step))
+        if worst < 1e-3:
+            break
+    return [sum(w.get(g, 0.0) * x for g, x in vector(plain_buckets(t)).items()) + bias for t in texts]
+
+
+def test_quality_model_against_plain_fit():
+    rng, mark = random.Random(5), np.zeros(1 << op1_quality.BITS, bool)
+    good, bad = "the cat sat on a mat and looked at birds".split(), "Buy NOW 100% free!!! click $$$ win".split()
+    texts = [" ".join(rng.choice(w if rng.random() < 0.8 else o) for _ in range(12)) for w, o in ((good, bad), (bad, good)) for _ in range(20)]
+    y = np.array([1] * 20 + [-1] * 20)
+    rows = [op1_quality.features(t, mark) for t in texts]
+    assert [set(r.tolist()) for r in rows] == [plain_buckets(t) for t in texts]
+    ratio = op1_quality._log_ratio(rows, y)
+    w, bias = op1_quality._descend(rows, y, ratio, 1.0, 30)
+    model = op1_quality.Model(w * ratio, ratio * ratio, bias, 1.0, 0.0)
+    asked = [*texts[::7], "a cat looked 100% free", "nothing like it"]
+    got = [model.margin(op1_quality.features(t, mark)) for t in asked]
+    assert got == pytest.approx(plain_margins([plain_buckets(t) for t in texts], y, asked), abs=1e-5)
+
+
 # ---------------------------------------------------------------- 3 secrets
 
 ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -235,6 +295,49 @@ def test_urls(spark, sf):
             assert r["verdict"] == ("block" if re.search("casino|bets|adult|pills|ads-|spam", r["host"]) else "allow"), r
 
 
+def plain_chance(examples, host, path, rounds):
+    """The same regression over n-grams in dictionaries, row by row."""
+
+    def buckets(host, path):
+        out = set()
+        for seed, part in ((1, f"^{host}$"), (2, f"^{path}$")):
+            for n in (2,) if part == "^$" else (3, 4, 5):
+                for i in range(len(part) - n + 1):
+                    out.add(xxhash.xxh32(part[i : i + n].encode(), seed=seed).intdigest() >> 17)
+        return out
+
+    rows = [(buckets(h, p), y) for h, p, y in examples]
+    w, b = {}, 0.0
+    chance = lambda own: 1 / (1 + math.exp(-(sum(w.get(g, 0.0) for g in own) / math.sqrt(max(1, len(own))) + b)))
+    for _ in range(rounds):
+        miss = [(own, chance(own) - y) for own, y in rows]
+        step = {g: 2.0 * 2e-3 * x for g, x in w.items()}
+        for own, m in miss:
+            for g in own:
+                step[g] = step.get(g, 0.0) + 2.0 * m / math.sqrt(len(own)) / len(rows)
+        for g, x in step.items():
+            w[g] = w.get(g, 0.0) - x
+        b -= 2.0 * sum(m for _, m in miss) / len(rows)
+    return chance(buckets(host, path))
+
+
+def test_url_model_against_plain_regression():
+    w, b = op7_urls.fit(op7_urls.labelled(), rounds=12)
+    for host, path in (("casino-win.example.org", "/en/14"), ("thther.example.net", "/de/2.html"), ("", ""), ("x", "/y")):
+        own = op7_urls.grams(host, path)
+        assert 1 / (1 + math.exp(-(w[own].sum() / math.sqrt(max(1, len(own))) + b))) == pytest.approx(plain_chance(op7_urls.labelled(), host, path, 12), abs=1e-9)
+
+
+def test_url_model_on_held_out_hosts(spark):
+    """The fixture's hosts are none of the labelled ones."""
+    names = set(op7_urls.BLOCKED) | set(op7_urls.ALLOWED)
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    rows = op7_urls.judged(pages, rules=()).collect()
+    assert not names & {part for r in rows for part in r["host"].split(".")}
+    right = [(r["verdict"] == "block") == bool(re.search("casino|bets|adult|pills|ads-|spam", r["host"])) for r in rows]
+    assert len(right) == 250 and np.mean(right) >= 0.99
+
+
 # ---------------------------------------------------------------- 8 HTML
 
 
