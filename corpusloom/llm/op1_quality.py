@@ -8,7 +8,8 @@ logistic curve fitted on rows that the model was not fitted on, shifted to the s
 labels among all learning rows.
 
 The model is fitted on the driver from a bounded sample: per class the ``per_class`` labelled rows
-with the smallest xxhash64(doc_id), spread over all labels. Scoring runs in tasks over all rows.
+with the smallest xxhash64(doc_id), spread over all labels, as far as their features have no more than
+``sample_bytes``. Scoring runs in tasks over all rows.
 
 Rows: null and empty texts have no features and get a score from the intercept; labels other than
 0 and 1 and null ids are not learnt from; an id with contradicting labels counts in both classes;
@@ -19,16 +20,19 @@ are never read and stay as they are, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, table
+from .common import free_name, table, written
 
 BITS = 17
 PER_CLASS = 2500
+SAMPLE_BYTES = 128 << 20  # of features of the sample; a text has 512 KB at most
 THRESHOLD = 0.3
 _MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32)
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -143,7 +147,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """A model from docs (doc_id, text) and labels (doc_id, quality), without the held-out fifth."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).distinct()
@@ -160,8 +164,16 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
         for rows in batches:
             yield pd.DataFrame({"doc_id": rows["doc_id"], "quality": rows["quality"], "buckets": [features(x, mark).tobytes() for x in rows["text"]]})
 
-    got = texts.mapInPandas(run, "doc_id long, quality int, buckets binary")
-    got = got.select(F.xxhash64("doc_id").alias("h"), "quality", "buckets").collect()
+    made = texts.mapInPandas(run, "doc_id long, quality int, buckets binary")
+    made = written(made.select(F.xxhash64("doc_id").alias("h"), "quality", "buckets"), "sample")
+    sizes = sorted((r["quality"], r["h"], r["n"]) for r in made.select("quality", "h", F.octet_length("buckets").alias("n")).collect())
+    fits = [F.lit(False)]
+    for quality in (0, 1):
+        own = [(h, n) for q, h, n in sizes if q == quality]
+        taken = np.searchsorted(np.cumsum([n for _, n in own]), sample_bytes / 2, "right") if own else 0
+        if taken:
+            fits.append((F.col("quality") == quality) & (F.col("h") <= own[taken - 1][0]))
+    got = made.where(reduce(or_, fits)).collect()
     got.sort(key=lambda r: (r["h"], r["quality"]))
     rows = [np.frombuffer(bytes(r["buckets"]), np.int32) for r in got]
     return fit(rows, np.array([1 if r["quality"] else -1 for r in got]), share)

@@ -310,7 +310,8 @@ def write_tables(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard = _encoder(tokenizer), TaskContext.get().partitionId()
         end = np.array([end_id], f"<u{encoder.width}").tobytes()
-        name = f"{folder}/shard-{shard:07d}.sst"
+        # each attempt writes a file of its own; the result names the file of the one that counts
+        name = f"{folder}/shard-{shard:07d}-{uuid.uuid4().hex}.sst"
         files, path = _file_system(name)
         out = writer = None
         for part in batches:
@@ -318,15 +319,13 @@ def write_tables(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
                 some = part.slice(at, at_once)
                 for doc_id, value in zip(some["doc_id"].to_pylist(), encoder.encode(some["text"])):
                     if writer is None:
-                        temporary = f"{path}.{uuid.uuid4().hex}"
                         files.create_dir(path.rpartition("/")[0], recursive=True)
-                        out = files.open_output_stream(temporary)
+                        out = files.open_output_stream(path)
                         writer = TableWriter(out, encoder.width)
                     writer.add(key_of(doc_id), value + end)
         if writer is not None:
             writer.close()
             out.close()
-            files.move(temporary, path)
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [name], "docs": [writer.docs], "ids": [writer.ids]})
 
     return written(rows.mapInArrow(run, "shard int, path string, docs long, ids long"), "shards")
@@ -352,7 +351,7 @@ def read_tables(shards: DataFrame) -> DataFrame:
                             out = []
                     yield _frame(out)
 
-    return placed.repartition(max(1, shards.count()), "shard").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.repartitionByRange(max(1, shards.count()), "shard").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:

@@ -51,6 +51,8 @@ def test_quality_awkward(spark):
         scores = [r["quality_score"] for r in got.collect()]
         assert len(scores) == 13 and all(0 <= s <= 1 for s in scores)
     assert op1_quality.score(empty(spark), op1_quality.learn(empty(spark), labels)).collect() == []
+    few = [op1_quality.learn(docs, labels, sample_bytes=n) for n in (0, 2000)]
+    assert all(0 <= r["quality_score"] <= 1 for model in few for r in op1_quality.score(docs, model).collect())
 
 
 def plain_buckets(text):
