@@ -41,16 +41,17 @@ def small_side(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def joined(left: DataFrame, right: DataFrame, key: str, spread: str, salts: int = 16, most: int = 1_000_000) -> DataFrame:
-    """left.join(right, key), where right is a written table with one row for each key.
+def joined(left: DataFrame, right: DataFrame, on: list[str], spread: Column, how: str = "inner", salts: int = 16, most: int = 1_000_000) -> DataFrame:
+    """left.join(right, on, how), where right is a written table with one row for each key.
 
     A small right side is broadcast. Beyond that both sides are dealt by key and a salt, which is the
-    hash of left's column ``spread``, so that a key with many rows of left is no single task.
+    hash of ``spread`` of left's row, so that a key with many rows of left is no single task.
     """
     if right.count() <= most:
-        return left.join(F.broadcast(right), key)
-    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    return dealt.join(right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [key, "_salt"]).drop("_salt")
+        return left.join(F.broadcast(right), on, how)
+    salt = free_name(left, "salt")
+    dealt = left.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    return dealt.join(right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*on, salt], how).drop(salt)
 
 
 def remove(df: DataFrame) -> None:

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import joined, small_side, table, written
@@ -184,10 +184,15 @@ def _fitting_units(units: DataFrame, sketches: DataFrame, percent: int) -> DataF
     return written(fitting, "fitting")
 
 
+def _with_large(units: DataFrame, size: Column, most: int) -> DataFrame:
+    """units with a column large: the bytes of the unit, 0 if it has no more than half of ``most``."""
+    sizes = units.groupBy("unit").agg(F.sum(size).alias("large")).where(F.col("large") > most / 2)
+    return joined(units, written(sizes, "large"), ["unit"], F.col("rep"), "left").withColumn("large", F.coalesce("large", F.lit(0)))
+
+
 def _in_parts(units: DataFrame, most: int) -> DataFrame:
     """units whose sets have more than ``most`` bytes as units of two parts, every pair of parts once."""
-    bytes_of_unit = F.sum(8 * F.col("n")).over(Window.partitionBy("unit"))
-    dealt = units.withColumn("parts", F.greatest(F.ceil(2 * bytes_of_unit / most), F.lit(1)).cast("int"))
+    dealt = _with_large(units, 8 * F.col("n"), most).withColumn("parts", F.greatest(F.ceil(2 * F.col("large") / most), F.lit(1)).cast("int")).drop("large")
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     unit = F.when(F.col("parts") > 1, F.xxhash64("unit", F.least("part", "other"), F.greatest("part", "other"))).otherwise(F.col("unit"))
@@ -205,8 +210,8 @@ def _links(units: DataFrame, classes: DataFrame, texts: DataFrame, k: int, perce
     sets = sets.join(small_side(needed.select("rep", "d1", "d2")), ["d1", "d2"]).select("rep", "shingles").dropDuplicates(["rep"])
     parts, size = written(_in_parts(units, SET_PACK), "parts"), 8 * F.col("n") + 2 * BANDS * ROWS
     packs = _packs(parts, size, SET_PACK)
-    large = F.sum(size).over(Window.partitionBy("unit")) > SET_PACK / 2  # such a unit is a pack of its own
-    full = parts.withColumn("pack", F.when(large, F.xxhash64("unit")).otherwise(F.pmod(F.xxhash64("unit"), F.lit(packs)))).join(sets, "rep")
+    own = F.when(F.col("large") > 0, F.xxhash64("unit"))  # a large unit is a pack of its own
+    full = _with_large(parts, size, SET_PACK).withColumn("pack", F.coalesce(own, F.pmod(F.xxhash64("unit"), F.lit(packs)))).drop("large").join(sets, "rep")
     return written(_by_pack(full, 2 * packs).applyInPandas(_confirmed(percent), "u long, v long"), "links")
 
 
@@ -225,7 +230,8 @@ def decided(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     rows = written(docs.mapInPandas(_sketched(k), "doc_id long, n_shingles long, d1 long, d2 long, sketch binary"), "sketches")
 
     classes = written(
-        rows.where("d1 is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+        rows.where("d1 is not null").groupBy("d1", "d2")
+        .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies"))
         .withColumn("rep", F.monotonically_increasing_id()), "classes",
     )
     width = 2 * ROWS
@@ -237,7 +243,7 @@ def decided(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     )
     buckets = written(buckets.select("key", "cnt", "lo", "hi"), "buckets")
     crowded = buckets.where("cnt > 2").select("key", "cnt", "lo")
-    members = written(joined(keyed, crowded, "key", "rep"), "members")
+    members = written(joined(keyed, crowded, ["key"], F.col("rep")), "members")
 
     star = members.where("rep != lo").select("lo", "rep").union(buckets.where("cnt = 2").select("lo", F.col("hi").alias("rep"))).distinct()
     star = written(star, "star")
@@ -258,18 +264,21 @@ def decided(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     )
     torn = written(labelled.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a != b").select("key"), "torn")
     blocks = F.ceil(F.col("cnt") / BLOCK).cast("int")
-    left = joined(labelled, torn, "key", "rep").select("key", "band", "rep", "comp", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("own"))
+    left = joined(labelled, torn, ["key"], F.col("rep")).select("key", "band", "rep", "comp", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("own"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
     units = left.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), side.alias("side"), "band", "rep", "comp")
     more = _links(_fitting_units(units, sketches, percent), classes, docs, k, percent)
 
     comps = connected_components(links.union(more)).withColumnRenamed("node", "rep")
-    found = classes.join(comps, "rep", "left").select("d1", "d2", "doc_id", F.coalesce("component", "rep").alias("comp"))
-    first = found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "d1", "d2")).alias("first"))
-    found = found.join(first, "comp").select("d1", "d2", F.col("first.doc_id").alias("component_id"), ((F.col("d1") == F.col("first.d1")) & (F.col("d2") == F.col("first.d2"))).alias("leads"))
-    out = rows.join(found, ["d1", "d2"], "left")
-    alone = F.col("d1").isNull()
+    several = classes.join(comps, "rep", "left").where("component is not null or copies > 1")
+    several = written(several.select("d1", "d2", "doc_id", F.coalesce("component", "rep").alias("comp")), "several")
+    first = several.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "d1", "d2")).alias("first"))
+    found = joined(several, written(first, "first"), ["comp"], F.col("d1"))
+    leads = (F.col("d1") == F.col("first.d1")) & (F.col("d2") == F.col("first.d2"))
+    found = written(found.select("d1", "d2", F.col("first.doc_id").alias("component_id"), leads.alias("leads")), "found")
+    out = joined(rows.drop("sketch"), found, ["d1", "d2"], F.monotonically_increasing_id(), "left")
+    alone = F.col("leads").isNull()  # no copies and no links
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", "d1", "d2", component.alias("component_id"), (alone | (F.col("leads") & F.col("doc_id").eqNullSafe(F.col("component_id")))).alias("chosen"))
 

@@ -75,10 +75,11 @@ def test_bounded_pieces_of_work(spark, monkeypatch):
     rng = np.random.default_rng(8)
     base = [f"w{i}" for i in range(150)]
     rows = [(i, " ".join(w if rng.random() > 0.02 * (i % 9) else f"z{rng.integers(10**6)}" for w in base)) for i in range(150)]
-    want = plain_components(rows, 2)
+    copies = [(1000 + i, rows[i % 7][1]) for i in range(60)]
+    rows, want = rows + copies, plain_components(rows + copies, 2)
     for name, value in (("BLOCK", 16), ("SPLITS", 3), ("SKETCH_PACK", 4000), ("SET_PACK", 6000)):
         monkeypatch.setattr(op2_minhash, name, value)
-    monkeypatch.setattr(common.joined, "__defaults__", (4, 0))
+    monkeypatch.setattr(common.joined, "__defaults__", ("inner", 4, 0))
     monkeypatch.setattr(components, "BROADCAST_EDGES", 0)
     assert {r["doc_id"]: r["component_id"] for r in near_duplicates(documents(spark, rows), k=2).collect()} == want
 
