@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import free_name, small_side, table, written
+from corpusloom.llm.common import free_name, joined, table, written
 from corpusloom.llm.op1_quality import THRESHOLD, learn, score
 from corpusloom.llm.op2_minhash import decided, digest_of
 from corpusloom.llm.op4_sharding import with_shard
@@ -35,7 +35,7 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     dropped = written(ids.where("not some").select("doc_id"), "dropped")
     often = written(ids.where("some and n > 1").select("doc_id"), "often")
     named = docs.where("doc_id is not null")
-    parts = [named.join(small_side(dropped.union(often)), "doc_id", "left_anti").select(*docs.columns)]
+    parts = [joined(named, dropped.union(often), ["doc_id"], F.col("text"), "left_anti").select(*docs.columns)]
     mark = free_name(docs, "digest")
     held = [F.coalesce(f"{mark}.d1", F.lit(0)), F.coalesce(f"{mark}.d2", F.lit(0))]
     blank = F.col(f"{mark}.d1").isNull()
@@ -51,7 +51,7 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
         return rows.withColumn(one, F.when(blank, F.col("text"))).dropDuplicates(["doc_id", mark, one]).select(*docs.columns)
 
     if not often.isEmpty():
-        parts.append(chosen(named.join(small_side(often), "doc_id", "left_semi").select(*docs.columns), found.where("chosen").join(small_side(often), "doc_id", "left_semi")))
+        parts.append(chosen(joined(named, often, ["doc_id"], F.col("text"), "left_semi").select(*docs.columns), joined(found.where("chosen"), often, ["doc_id"], F.col("d1"), "left_semi")))
     if not found.where("doc_id is null").isEmpty():
         nameless = docs.where("doc_id is null")
         parts.append(chosen(nameless, found.where("chosen and doc_id is null and d1 is not null")))
