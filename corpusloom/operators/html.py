@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..functions.braces import MARK, guarded
 from ..functions.site import BLOCK_TAGS, KIND_TAGS, TAG_KINDS
 from ..functions.templates import extension_markup, template_markup
-from ..functions.text import body_of, comment_escape, get_attr, html_escape, node_attributes, replaced, text_decode, trim_all
+from ..functions.text import body_of, comment_escape, get_attr, html_escape, let, node_attributes, replaced, text_decode, trim_all
 from .rows import ROW, by_row, names_of, numbered
 from .tokens import parse_attributes
 
@@ -37,11 +37,16 @@ def _attributes_of(piece: Column) -> Column:
     return parse_attributes(F.regexp_extract(piece, rf"(?s)^(<[A-Za-z]{_ATTRS}>)", 1))
 
 
+def _plain_kind(tag: Column) -> Column:
+    """The kind of an element without attributes."""
+    plain = F.try_element_at(F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in TAG_KINDS.items())), tag)
+    return F.when(tag == "a", "Span").when(tag.rlike("^h[1-6]$"), "Heading").otherwise(F.coalesce(plain, F.lit("Other")))
+
+
 def element_kind(tag: Column, attrs: Column) -> Column:
     """The kind of an element: typeof first, then rel, then href rules for a, then the tag."""
     types = F.split(F.coalesce(get_attr(attrs, "typeof"), F.lit("")), r"\s+")
     rel = get_attr(attrs, "rel")
-    plain = F.try_element_at(F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in TAG_KINDS.items())), tag)
     return (
         F.when(F.array_contains(types, "mw:Transclusion"), "Transclusion")
         .when(F.exists(types, lambda t: t.startswith("mw:Extension/")), "ExtensionTag")
@@ -50,9 +55,7 @@ def element_kind(tag: Column, attrs: Column) -> Column:
         .when(rel == "mw:WikiLink/Interwiki", "Wikilink")
         .when((tag == "a") & (rel == "mw:ExtLink"), "ExtLink")
         .when((tag == "a") & get_attr(attrs, "href").isNotNull(), "Wikilink")
-        .when(tag == "a", "Span")
-        .when(tag.rlike("^h[1-6]$"), "Heading")
-        .otherwise(F.coalesce(plain, F.lit("Other")))
+        .otherwise(_plain_kind(tag))
     )
 
 
@@ -155,51 +158,77 @@ def _placed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 _MARKS = {"UnorderedList": "u", "OrderedList": "o", "ListItem": "i", "Wikilink": "a", "ExtLink": "a", "ExtensionTag": "x", "Table": "t", "TableRow": "t", "Preformatted": "p"}
 
 
-def _mark(kind: Column, data_mw: Column) -> Column:
-    plain = F.try_element_at(F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in _MARKS.items())), kind)
-    return F.when((kind == "Transclusion") & (F.coalesce(template_markup(data_mw), F.lit("")) != ""), "x").otherwise(F.coalesce(plain, F.lit("-")))
+_TAG_MARKS = {"ul": "u", "ol": "o", "li": "i", "table": "t", "tr": "t", "pre": "p"}
 
 
-def _described(piece: Column) -> Column:
-    """What a piece of a page is, without its place."""
-    is_element, is_comment = piece.rlike("^<[A-Za-z]"), piece.startswith("<!--")
-    every = F.when(is_element, F.transform(_attributes_of(piece), lambda a: F.struct(a["k"].alias("k"), text_decode(a["v"]).alias("v"))))
-    return F.struct(
-        F.when(is_comment, "Comment").when(is_element, "Element").otherwise("Text").alias("node_kind"), F.when(is_element, _tag_of(piece)).alias("tag"),
-        F.when(is_comment, F.regexp_replace(piece, "(?s)^<!--|-->$", "")).when(~is_element, piece).alias("text"), every.alias("every"),
-        piece.startswith("</").alias("closes"), (piece.endswith("/>") | piece.rlike(rf"(?i)^<(?:{_RAW})\b")).alias("leaf"),
-    )
+def _map(pairs: dict[str, str]) -> Column:
+    return F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in pairs.items()))
+
+
+def _every_of(piece: Column) -> Column:
+    """The attributes of an element's tag, with their references read."""
+    none = F.array().cast("array<struct<k:string,v:string>>")
+    some = F.transform(_attributes_of(piece), lambda a: F.struct(a["k"].alias("k"), text_decode(a["v"]).alias("v")))
+    return F.when(piece.rlike(r"^<[A-Za-z][^\s>]*>$"), none).when(piece.rlike("^<[A-Za-z]"), some)
+
+
+def _mark(tag: Column, piece: Column) -> Column:
+    """The mark of an element; attributes are only read where they can decide."""
+
+    def of_kind(every: Column) -> Column:
+        kind = element_kind(tag, every)
+        rebuilt = (kind == "Transclusion") & (F.coalesce(template_markup(get_attr(every, "data-mw")), F.lit("")) != "")
+        return F.when(rebuilt, "x").otherwise(F.coalesce(F.try_element_at(_map(_MARKS), kind), F.lit("-")))
 
+    plain = F.when((tag == "a") & piece.rlike(r"(?i)\shref\s*="), "a").otherwise(F.coalesce(F.try_element_at(_map(_TAG_MARKS), tag), F.lit("-")))
+    return F.when(piece.rlike(r"(?i)\s(?:typeof|rel)\s*="), of_kind(_every_of(piece))).otherwise(plain)
 
-def _step(n: Column) -> Column:
-    kind = element_kind(n["tag"], n["every"])
-    opened = F.concat(F.when(n["leaf"] | n["tag"].isin(VOID), "!").otherwise("+"), n["tag"], F.lit(" "), _mark(kind, get_attr(n["every"], "data-mw")))
-    text = F.when((n["node_kind"] == "Text") & F.contains(n["text"], F.lit("&")), n["text"]).otherwise("")
-    return F.when(n["closes"], F.concat(F.lit("-"), _tag_of(n["text"]))).when(n["node_kind"] == "Element", opened).otherwise(F.concat(F.lit("."), text))
+
+def _step(piece: Column) -> Column:
+    leaf = piece.endswith("/>") | piece.rlike(rf"(?i)^<(?:{_RAW})\b")
+    opened = lambda tag: F.concat(F.when(leaf | tag.isin(VOID), "!").otherwise("+"), tag, F.lit(" "), _mark(tag, piece))
+    text = F.when(F.contains(piece, F.lit("&")) & ~piece.startswith("<!--"), piece).otherwise("")
+    return F.when(piece.startswith("</"), F.concat(F.lit("-"), _tag_of(piece))).when(piece.rlike("^<[A-Za-z]"), opened(_tag_of(piece))).otherwise(F.concat(F.lit("."), text))
 
 
 def _found(page: Column) -> Column:
-    pieces = F.filter(_pieces(body_of(page)), lambda p: ~p.rlike(r"^<[!?](?!--)"))
-    return F.transform(pieces, _described)
+    return F.filter(_pieces(body_of(page)), lambda p: ~p.rlike(r"^<[!?](?!--)"))
 
 
-def _node(n: Column, p: Column, i: Column) -> Column:
-    every, kind = n["every"], F.when(n["node_kind"] == "Element", element_kind(n["tag"], n["every"]))
-    return F.struct(
+def _node(piece: Column, p: Column, i: Column, every: Column, tag: Column, kind: Column) -> list[Column]:
+    """The columns of a node of a piece at place p."""
+    is_element, is_comment = piece.rlike("^<[A-Za-z]"), piece.startswith("<!--")
+    text = F.when(is_comment, F.regexp_replace(piece, "(?s)^<!--|-->$", "")).when(~is_element, F.coalesce(p["text"], piece))
+    return [
         i.alias("node_id"), p["parent"].alias("parent_id"), p["ord"].alias("ord"), p["depth"].alias("depth"), p["path"].alias("path"), p["until"].alias("until"),
-        n["node_kind"].alias("node_kind"), kind.alias("elem_kind"), F.when(kind == "Heading", F.substring(n["tag"], 2, 1).cast("int")).alias("level"),
-        n["tag"].alias("tag"), F.coalesce(p["text"], n["text"]).alias("text"), F.filter(every, lambda a: ~a["k"].isin("data-parsoid", "data-mw")).alias("attrs"),
-        get_attr(every, "data-parsoid").alias("data_parsoid"), get_attr(every, "data-mw").alias("data_mw"), p["above"].alias("above"), n["leaf"].alias("leaf"),
-    )
+        F.when(is_comment, "Comment").when(is_element, "Element").otherwise("Text").alias("node_kind"), kind.alias("elem_kind"),
+        F.when(kind == "Heading", F.substring(tag, 2, 1).cast("int")).alias("level"), tag.alias("tag"), text.alias("text"),
+        F.filter(every, lambda a: ~a["k"].isin("data-parsoid", "data-mw")).alias("attrs"), get_attr(every, "data-parsoid").alias("data_parsoid"),
+        get_attr(every, "data-mw").alias("data_mw"), p["above"].alias("above"),
+    ]
+
+
+def _kind_of(tag: Column, every: Column) -> Column:
+    return F.when(tag.isNotNull(), F.when(F.size(every) == 0, _plain_kind(tag)).otherwise(element_kind(tag, every)))
+
+
+def _own_tag(piece: Column) -> Column:
+    return F.when(piece.rlike("^<[A-Za-z]"), _tag_of(piece))
+
+
+def _nodes(found: Column, places: Column) -> Column:
+    """The array of nodes of the pieces at their places."""
+    both = F.transform(F.arrays_zip(found.alias("n"), places.alias("p")), lambda x, i: F.struct(x["n"].alias("n"), x["p"].alias("p"), i.alias("i")))
+    named = lambda x: F.struct(x["n"].alias("n"), x["p"].alias("p"), x["i"].alias("i"), _own_tag(x["n"]).alias("tag"), _every_of(x["n"]).alias("every"))
+    whole = lambda x: let(_kind_of(x["tag"], x["every"]), lambda kind: F.struct(*_node(x["n"], x["p"], x["i"], x["every"], x["tag"], kind)))
+    return F.transform(F.transform(F.filter(both, lambda x: x["p"].isNotNull()), named), whole)
 
 
 def with_nodes(pages: DataFrame, page: Column, name: str) -> DataFrame:
     """pages with one more column: an array of the nodes of page, in page order."""
     found, places = f"{name}_found", f"{name}_places"
     pages = pages.withColumn(found, _found(page)).withColumn(places, _placed(F.transform(found, _step)))
-    both = F.transform(F.arrays_zip(F.col(found).alias("n"), F.col(places).alias("p")), lambda x, i: F.struct(x["n"].alias("n"), x["p"].alias("p"), i.alias("i")))
-    nodes = F.transform(F.filter(both, lambda x: x["p"].isNotNull()), lambda x: _node(x["n"], x["p"], x["i"]))
-    return pages.withColumn(name, nodes).drop(found, places)
+    return pages.withColumn(name, _nodes(F.col(found), F.col(places))).drop(found, places)
 
 
 def html_nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
@@ -214,8 +243,12 @@ def html_nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
     Rows: pages that share a key, or have none, have numbers of their own; null and empty pages have
     no nodes; other columns are left out.
     """
-    rows = with_nodes(numbered(pages, key, F.col(html).alias("html")), F.col("html"), "nodes")
-    return rows.select(*by_row(key), F.explode("nodes").alias("n")).select(*by_row(key), "n.*")
+    own = by_row(key)
+    rows = numbered(pages, key, _found(F.col(html)).alias("piece")).withColumn("place", _placed(F.transform("piece", _step)))
+    rows = rows.select(*own, F.posexplode(F.arrays_zip("piece", "place")).alias("i", "x")).select(*own, "i", "x.piece", "x.place").where("place is not null")
+    rows = rows.withColumns({"tag": _own_tag(F.col("piece")), "every": _every_of(F.col("piece"))})
+    rows = rows.withColumn("kind", _kind_of(F.col("tag"), F.col("every")))
+    return rows.select(*own, *_node(*map(F.col, ("piece", "place", "i", "every", "tag", "kind"))))
 
 
 def wt_nodes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -357,10 +390,8 @@ def markup_of_nodes(nodes: Column) -> Column:
 
 def html2wt(page: Column) -> Column:
     """Wiki markup of a page's body, within the row: nodes in page order, each with what it puts before and after."""
-    pieces = _found(page)
-    both = F.arrays_zip(pieces.alias("n"), _placed(F.transform(pieces, _step)).alias("p"))
-    both = F.filter(F.transform(both, lambda x, i: F.struct(x["n"].alias("n"), x["p"].alias("p"), i.alias("i"))), lambda x: x["p"].isNotNull())
-    return markup_of_nodes(F.transform(both, lambda x: _node(x["n"], x["p"], x["i"])))
+    found = _found(page)
+    return markup_of_nodes(_nodes(found, _placed(F.transform(found, _step))))
 
 
 def html_to_markup(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
