@@ -50,18 +50,18 @@ query("rows_selser", f"select {_KEY}, 'a ' || source || case when lang = 'en' th
 )
 
 # ---------------------------------------------------------------- nesting
-_DEPTH = C("p_partkey") % 8 + 1
+_depth = lambda: C("p_partkey") % 8 + 1
 _part = lambda s, d, make: read(s, d, "part").select(C("p_partkey").alias("doc_id"), make.alias("text"))
-_nested = F.concat(F.repeat(L("{{a|"), _DEPTH.cast("int")), C("p_name"), F.repeat(L("}}"), _DEPTH.cast("int")))
+_nested = lambda: F.concat(F.repeat(L("{{a|"), _depth().cast("int")), C("p_name"), F.repeat(L("}}"), _depth().cast("int")))
 query(
     "nested_calls",
     "select p_partkey as doc_id, k.kind, case k.kind when 'TemplateOpen' then repeat('{{a|', d) || p_name || repeat('}}', d) when 'Text' then ' ' || p_brand end as lex "
     "from (select *, (p_partkey % 8 + 1)::int as d from part) cross join (values ('TemplateOpen'), ('Text')) k(kind)",
-)(lambda s, d: tokens.tokens(_part(s, d, F.concat(_nested, L(" "), "p_brand"))).where("kind <> 'EOF'").select("doc_id", "kind", "lex"))
+)(lambda s, d: tokens.tokens(_part(s, d, F.concat(_nested(), L(" "), "p_brand"))).where("kind <> 'EOF'").select("doc_id", "kind", "lex"))
 query("nested_arguments", "select p_partkey, '<' || case when p_partkey % 2 = 0 then p_name else p_brand end || '>' as out from part")(
     lambda s, d: read(s, d, "part").select("p_partkey", templates.substitute_args(
-        F.concat(L("<"), F.repeat(L("{{{no|"), _DEPTH.cast("int")), L("{{{x|"), "p_brand", L("}}}"), F.repeat(L("}}}"), _DEPTH.cast("int")), L(">")),
-        F.when(_DEPTH % 2 == 1, F.create_map(L("x"), C("p_name"))).otherwise(F.create_map(L("y"), C("p_type"))),
+        F.concat(L("<"), F.repeat(L("{{{no|"), _depth().cast("int")), L("{{{x|"), "p_brand", L("}}}"), F.repeat(L("}}}"), _depth().cast("int")), L(">")),
+        F.when(_depth() % 2 == 1, F.create_map(L("x"), C("p_name"))).otherwise(F.create_map(L("y"), C("p_type"))),
     ).alias("out"))
 )
 query("argument_default_calls", "select p_partkey as doc_id, '[' || case when p_partkey % 2 = 0 then p_brand else p_name end || ']' as expanded from part")(
@@ -102,12 +102,12 @@ query(
     lambda s, d: html.wt_nodes(_part(s, d, F.concat(L("== "), "p_brand", L(" ==\n'''"), "p_name", L("''' __TOC__{{T|x}}\n* "), "p_type", L("{{{a}}}"))))
     .where("node_kind <> 'Text' or trim(text, '\n') <> ''").select("doc_id", "path", "node_kind", "elem_kind", "text")
 )
-_SNIPPET = F.concat(L('<h2>'), "p_brand", L('</h2><p>a <b>'), "p_name", L('</b><br/>&amp; b</p><ul><li class="x">'), "p_type", L("</li></ul><!-- c -->"))
+_snippet = lambda: F.concat(L('<h2>'), "p_brand", L('</h2><p>a <b>'), "p_name", L('</b><br/>&amp; b</p><ul><li class="x">'), "p_type", L("</li></ul><!-- c -->"))
 query("nodes_to_html", "select p_partkey as doc_id, '<h2>' || p_brand || '</h2><p>a <b>' || p_name || '</b><br/>&amp; b</p><ul><li class=\"x\">' || p_type || '</li></ul><!-- c -->' as html from part")(
-    lambda s, d: html.nodes_to_html(html.html_nodes(_part(s, d, _SNIPPET), "doc_id", "text"), "doc_id").select("doc_id", "html")
+    lambda s, d: html.nodes_to_html(html.html_nodes(_part(s, d, _snippet()), "doc_id", "text"), "doc_id").select("doc_id", "html")
 )
 query("nodes_to_markup", f"select p_partkey as doc_id, '==' || p_brand || '==' || {NL} || 'a ''''''' || p_name || '''''''<br/>' || {NL} || '& b' || {NL} || '* ' || p_type || {NL} || '<!-- c -->' as wikitext from part")(
-    lambda s, d: html.nodes_to_markup(html.html_nodes(_part(s, d, _SNIPPET), "doc_id", "text"), "doc_id").select("doc_id", "wikitext")
+    lambda s, d: html.nodes_to_markup(html.html_nodes(_part(s, d, _snippet()), "doc_id", "text"), "doc_id").select("doc_id", "wikitext")
 )
 query("nodes_json", "select p_partkey as doc_id, '{\"node_kind\":\"Text\",\"path\":\"/00000/00000\",\"text\":\"' || p_name || '\"}' as json from part")(
     lambda s, d: html.html_nodes(_part(s, d, F.concat(L("<p>"), "p_name", L("</p>"))), "doc_id", "text").where("node_kind = 'Text'").select("doc_id", html.node_json("node_kind", "path", "text").alias("json"))
