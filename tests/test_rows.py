@@ -106,3 +106,14 @@ def test_nested_markup(spark):
     assert value(spark, html.html2wt(L(page))) == "* a\n## b\n## c\n* d\nxy{|\n|-\n|1\n|2\n|-\n!3\n|}\n"
     assert value(spark, html.html2wt(L('<a href="u">u</a> <a href="u"></a> <a rel="mw:ExtLink" href="h">t <b>b</b></a>'))) == "[[u]] [[u]] [h t '''b''']"
     assert value(spark, html.html2wt(L(None).cast("string"))) == ""
+
+
+def test_commands(spark, tmp_path):
+    from corpusloom.__main__ import main
+
+    (tmp_path / "a.html").write_text("<h2>T</h2><p>x &eacute;</p>")
+    for command in ("html2wt", "nodes"):
+        main([command, str(tmp_path / "a.html"), "--out", str(tmp_path / command)])
+    assert spark.read.parquet(str(tmp_path / "html2wt")).first()["wikitext"] == "==T==\nx é\n"
+    shown = [r["json"] for r in spark.read.parquet(str(tmp_path / "nodes")).orderBy("node_id").collect()]
+    assert len(shown) == 4 and '"text":"x é"' in shown[3] and '"elem_kind":"Heading"' in shown[0]
