@@ -46,6 +46,7 @@ from .common import new_folder, table, text_or_empty, written
 END_ID = 0
 BLOCK_BYTES, BLOOM_BITS, BLOOM_HASHES = 1 << 16, 10, 7
 _FOOTER, _MAGIC = struct.Struct("<QQIIQQ8s"), b"CLSSTAB1"
+BATCH_BYTES = 8 << 20
 _CACHE_LIMIT = 400_000
 _UNEVEN = r" (?:[\s\x{b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\z)"
 _SIGN = 1 << 63
@@ -202,6 +203,11 @@ class TableReader:
 # ---------------------------------------------------------------- tokenizing
 
 
+def _strings(values: pa.Array) -> list[str]:
+    """As to_pylist(), made by Arrow at once and not value by value."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 class ChunkEncoder:
     """Encodes texts with the tokenizers library, remembering the ids of words.
 
@@ -267,14 +273,14 @@ class ChunkEncoder:
         even = texts.filter(pa.array(~odd))
         lists = pc.split_pattern(even, " ")
         numbered = pc.dictionary_encode(lists.flatten())
-        index, distinct = numbered.indices.to_numpy().astype(np.int64), numbered.dictionary.to_pylist()
+        index, distinct = numbered.indices.to_numpy().astype(np.int64), _strings(numbered.dictionary)
         if len(self.words) > _CACHE_LIMIT:  # what is frequent is in these texts too
             self.words = {w: self.words[w] for w in distinct if w in self.words}
             self.tails.clear()
         self._learn([w for w in distinct if w not in self.words])
         bounds = lists.offsets.to_numpy().astype(np.int64)
         first = bounds[:-1] - bounds[0]  # a text's first word has no space before it
-        heads = self._encoded(lists.flatten().take(pa.array(first)).to_pylist())
+        heads = self._encoded(_strings(lists.flatten().take(pa.array(first))))
         index[first] = len(distinct) + np.arange(len(first))
         pieces = [*map(self.words.__getitem__, distinct), *heads]
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // self.width
@@ -302,8 +308,22 @@ def _encoder(path: str) -> ChunkEncoder:
 # ---------------------------------------------------------------- Spark jobs
 
 
-def write_tables(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, at_once: int = 1024) -> DataFrame:
-    """Writes docs (doc_id, text) as shards in folder; returns shard, path, docs, ids of each."""
+def _portions(part: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of part in order, as slices of at most ``most`` bytes of text, or of one longer text."""
+    ends = np.cumsum(pc.binary_length(part["text"]).to_numpy().astype(np.int64))
+    at = 0
+    while at < part.num_rows:
+        before = ends[at - 1] if at else 0
+        until = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield part.slice(at, until - at)
+        at = until
+
+
+def write_tables(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, at_once: int = BATCH_BYTES) -> DataFrame:
+    """Writes docs (doc_id, text) as shards in folder; returns shard, path, docs, ids of each.
+
+    at_once: bytes of text that a task encodes together.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text")).withColumn("salt", F.xxhash64("text"))
     rows = rows.repartitionByRange(F.asc_nulls_first("doc_id"), F.asc("salt")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "salt")
 
@@ -315,8 +335,7 @@ def write_tables(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
         files, path = _file_system(name)
         out = writer = None
         for part in batches:
-            for at in range(0, part.num_rows, at_once):
-                some = part.slice(at, at_once)
+            for some in _portions(part, at_once):
                 for doc_id, value in zip(some["doc_id"].to_pylist(), encoder.encode(some["text"])):
                     if writer is None:
                         files.create_dir(path.rpartition("/")[0], recursive=True)
