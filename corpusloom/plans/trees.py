@@ -178,6 +178,57 @@ query(
     )
 )
 
+# ---------------------------------------------------------------- tokens of every kind
+_TABLE_LINES = "\n{| class=x\n|+ cap\n|-\n! h !! i\n| c || d\n|}\n"
+query(
+    "token_payloads",
+    "select p_partkey as doc_id, kind, case x when 'n' then p_name when 't' then '''''' || p_type "
+    "when 'b' then '[[' || p_brand || ']]' when 'a' then p_brand else x end as s, n::bigint as n "
+    "from part cross join (values ('Redirect', 'n', 1), ('TableOpen', null, 1), ('TableCaption', null, 1), "
+    "('TableRow', null, 1), ('TableCell', null, 4), ('TableClose', null, 1), ('Pre', 't', 1), ('NowikiContent', 'b', 1), "
+    "('NowikiContent', '', 1), ('TplArgOpen', 'a', 1), ('ParserFnOpen', '#if', 1), ('MagicWord', 'NOTOC', 1), "
+    "('HtmlTagOpen', 'div', 1), ('HtmlTagClose', 'div', 1)) v(kind, x, n)",
+)(
+    lambda s, d: tokens.tokens(
+        _part(s, d, F.concat(
+            L("#REDIRECT [["), "p_name", L("]]"), L(_TABLE_LINES), L("<pre a>''"), "p_type",
+            L("</pre><nowiki>[["), "p_brand", L("]]</nowiki><nowiki/>{{{"), "p_brand", L("|d}}}{{#if: x|"),
+            "p_name", L('}}__NOTOC__<div title="a>b">y</div>'),
+        ))
+    ).where(~C("kind").isin("Text", "Newline", "EOF")).groupBy("doc_id", "kind", "s").agg(F.count(L(1)).alias("n"))
+)
+query(
+    "tag_attributes",
+    "select p_partkey, 'k=v;b=x > y;c=' || p_name || ';d=;title=' || p_brand as out from part",
+)(
+    lambda s, d: read(s, d, "part").select("p_partkey", F.array_join(F.transform(
+        tokens.parse_attributes(F.concat(
+            L("<a k=v B=\"x > y\" c='"), "p_name", L("' d title = '"), "p_brand", L("'/>")
+        )),
+        lambda a: F.concat(a["k"], L("="), a["v"]),
+    ), ";").alias("out"))
+)
+_mixed = lambda: F.concat(
+    L("== "), "p_name", L(" ==\n* '''''"), "p_brand", L("'' [http://x y] [[["), "p_type", L("]]] {{a|{{{b}}}| }} <!-- ")
+)
+query(
+    "lexemes_rebuild_text",
+    "select p_partkey as doc_id, true as same from part",
+)(
+    lambda s, d: tokens.tokens(_part(s, d, _mixed()))
+    .groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("tok_idx", "lex"))).alias("t"))
+    .join(_part(s, d, _mixed()), "doc_id")
+    .select("doc_id", (F.array_join(F.transform("t", lambda x: x["lex"]), "") == C("text")).alias("same"))
+)
+query(
+    "verbatim_html",
+    "select p_partkey as doc_id, '<p>[[' || p_brand || ']] ''''x''''</p>' as html from part",
+)(
+    lambda s, d: blocks.wt2html(
+        _part(s, d, F.concat(L("<nowiki>[["), "p_brand", L("]]</nowiki> <nowiki>''x''</nowiki>")))
+    )
+)
+
 # ---------------------------------------------------------------- node tables
 query(
     "markup_nodes",
@@ -226,6 +277,19 @@ query(
         "doc_id",
     ).select("doc_id", "wikitext")
 )
+query(
+    "nodes_to_html_indented",
+    "select p_partkey as doc_id, '<div>  <p>a &lt; ' || p_name || '</p>  <pre>x < ' || p_brand || '</pre></div>' "
+    "as html from part",
+)(
+    lambda s, d: html.nodes_to_html(
+        html.html_nodes(
+            _part(s, d, F.concat(
+                L("<div><p>a &lt; "), "p_name", L("</p><pre>x &lt; "), "p_brand", L("</pre></div>")
+            )), "doc_id", "text",
+        ), "doc_id", indent=True,
+    ).select("doc_id", "html")
+)
 query(
     "nodes_json",
     "select p_partkey as doc_id, '{\"node_kind\":\"Text\",\"path\":\"/00000/00000\",\"text\":\"' || p_name || '\"}' "
