@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +31,30 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end the tables that written() made within it, but for lasting ones.
+
+    What is to be kept must be written by then: a DataFrame that still reads the others is lost.
+    """
+    made: list[str] = []
+    _SCRATCH.append(made)
+    try:
+        yield
+    finally:
+        _SCRATCH.pop()
+        for path in made:
+            remove_folder(spark, path)
+
+
+def written(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """The rows as a Parquet table in the shared folder: cuts lineage and outlives lost executors."""
     path = new_folder(df.sparkSession, name)
+    if _SCRATCH and not lasting:
+        _SCRATCH[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -58,9 +81,12 @@ def remove(df: DataFrame) -> None:
     """Deletes the folder of a table made by written()."""
     files = df.inputFiles()
     if files:
-        spark = df.sparkSession
-        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0].rpartition("/")[0])
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        remove_folder(df.sparkSession, files[0].rpartition("/")[0])
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpusloom.llm import op1_quality, op4_sharding, op5_mixing, op9_decontaminate, op10_topk
+from corpusloom.llm import common, op1_quality, op4_sharding, op5_mixing, op9_decontaminate, op10_topk
 from corpusloom.llm.queries import QUERIES
 
 from .helpers import awkward, documents, empty
@@ -166,9 +167,28 @@ def test_search_awkward(spark):
 # ---------------------------------------------------------------- pipeline
 
 
+def folders(spark):
+    path = Path(common.shared_dir(spark).removeprefix("file://")) / "corpusloom"
+    return {p.name for p in path.iterdir()} if path.exists() else set()
+
+
+def test_scratch_tables_go(spark):
+    before = folders(spark)
+    with common.scratch(spark):
+        kept = common.written(common.written(spark.range(3), "gone"), "kept", lasting=True)
+    assert sorted(r[0] for r in kept.collect()) == [0, 1, 2]
+    assert [name.rpartition("-")[0] for name in folders(spark) - before] == ["kept"]
+    with pytest.raises(ZeroDivisionError), common.scratch(spark):
+        common.written(spark.range(3), "gone")
+        1 / 0
+    assert len(folders(spark) - before) == 1
+
+
 def test_pipeline_against_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
+    before = folders(spark)
     got = corpus_pipeline.run(spark, sf)
+    assert [name.rpartition("-")[0] for name in folders(spark) - before] == ["stage-sharding"]
     assert got.columns == [*docs.columns, "shard"]
     rows = {r["doc_id"]: r for r in docs.collect()}
     model = op1_quality.learn(docs, spark.read.parquet(f"{sf}/labels.parquet"))
