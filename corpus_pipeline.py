@@ -1,7 +1,8 @@
 """From documents to a training mix: quality, near-duplicates, benchmark leaks, source mix, shards.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes every stage as Parquet
-in the shared folder and reads it again as the next stage's docs.
+in the shared folder and reads it again as the next stage's docs. Tables that a stage made for itself
+go when it is written, and so does the table that it read, unless that is the input.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import free_name, joined, table, written
+from corpusloom.llm.common import free_name, joined, remove, scratch, table, written
 from corpusloom.llm.op1_quality import THRESHOLD, learn, score
 from corpusloom.llm.op2_minhash import decided, digest_of
 from corpusloom.llm.op4_sharding import with_shard
@@ -91,6 +92,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    for i, (name, stage) in enumerate(STAGES):
+        with scratch(spark):
+            after = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"), lasting=True)
+        if i:  # a table of the stage before, not the input
+            remove(docs)
+        docs = after
     return docs
